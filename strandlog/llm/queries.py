@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlog.llm import mixing
+from strandlog.llm import mixing, quality
 from strandlog.llm.common import table
 
 
@@ -10,10 +10,16 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark, sf_dir):
+    return quality.quality_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_quality": op8_quality,
     "op10_mixing": op10_mixing,
 }
 
 SQL = {
+    "op8_quality": quality.SQL,
     "op10_mixing": mixing.SQL,
 }
