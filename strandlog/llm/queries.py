@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlog.llm import mixing, quality
+from strandlog.llm import mixing, packing, quality
 from strandlog.llm.common import table
 
 
@@ -10,11 +10,16 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark, sf_dir):
     return quality.quality_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op10_mixing": op10_mixing,
 }
