@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from strandlog.llm import mixing, packing, quality
+from strandlog.llm import fingerprints, mixing, packing, quality
 from strandlog.llm.common import table
 
 
+def op9_fingerprints(spark, sf_dir):
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,7 @@ def op8_quality(spark, sf_dir):
 QUERIES = {
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
+    "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
 }
 
