@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlog.llm import fingerprints, mixing, ngram_join, packing, quality
+from strandlog.llm import fingerprints, line_dedup, mixing, ngram_join, packing, quality
 from strandlog.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_join(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -27,6 +31,7 @@ def op8_quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_ngram_join": op2_ngram_join,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
