@@ -12,12 +12,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import save
+from strandlog.llm.common import text_of
 from strandlog.llm.shingles import mix64, shingle_sets
 
 WORDS = 5
@@ -76,11 +76,11 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-_ROW = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-        ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-_EDGE = [("edge", pa.string()), ("part", pa.int32()), ("text", pa.string())]
-_SCHEMA = pa.schema(_ROW + _EDGE)
-_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edge string, part int, text string"
+_SCHEMA = pa.schema(
+    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
+     ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+)
+_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _compared(ids: list, texts: list[str], following: str) -> pa.RecordBatch:
@@ -91,46 +91,53 @@ def _compared(ids: list, texts: list[str], following: str) -> pa.RecordBatch:
     other, some_other = fingerprints(pa.array(edited, pa.string()))
     columns = [
         ids, [len(t) for t in texts], [hashlib.sha256(e.encode()).hexdigest() for e in edited], _hex(own[:-1], some[:-1]), _hex(other, some_other),
-        likeness(own[:-1], other, some[:-1], some_other), likeness(own[:-1], own[1:], some[:-1], some[1:]), *[[None] * len(ids)] * 3,
+        likeness(own[:-1], other, some[:-1], some_other), likeness(own[:-1], own[1:], some[:-1], some[1:]),
     ]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
 
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares rows (doc_id, text, bucket, tail) in order; a bucket's tail is the text after its last row."""
+    held: list[tuple] = []
+    for batch in batches:
+        for doc_id, text, tail in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+            if tail or len(held) >= 500:
+                yield _compared([x[0] for x in held], [x[1] for x in held], text)
+                held = []
+            if not tail:
+                held.append((doc_id, text))
+
+
 def compare_edited(docs: DataFrame) -> DataFrame:
     """The fingerprints of every row's text and of its edited text, whose last quarter is taken from the next row's.
 
     Rows follow one another by doc_id (null first), rows with the same one by text; after the last comes the first.
-    Range partitions in that order are streamed through one after another's rows; only the first and last text of each
-    partition, two rows a partition, meet in a last small step. An empty table gives no rows.
+    Quantiles of doc_id part the rows into buckets of much the same size; the first text of each goes to the one before
+    as well, one row a bucket. Then a bucket is sorted and read through, and each text is shuffled once. An empty table
+    gives no rows.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, first = TaskContext.get().partitionId(), None, True
-        edge = lambda kind, x: pa.RecordBatch.from_pylist([{"edge": kind, "part": part, "doc_id": x[0], "text": x[1]}], schema=_SCHEMA)
-        for batch in batches:
-            rows = [(i, t or "") for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            if not rows:
-                continue
-            if first:
-                yield edge("first", rows[0])
-                first = False
-            rows = ([held] if held else []) + rows
-            for at in range(0, len(rows) - 1, 500):
-                some = rows[at : min(at + 500, len(rows) - 1)]
-                yield _compared([x[0] for x in some], [x[1] for x in some], rows[at + len(some)][1])
-            held = rows[-1]
-        if held:
-            yield edge("last", held)
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["part"], r["edge"] == "last"))
-        firsts = [r for r in rows if r["edge"] == "first"]
-        lasts = [r for r in rows if r["edge"] == "last"]
-        for k, r in enumerate(lasts):
-            yield _compared([r["doc_id"]], [r["text"]], firsts[(k + 1) % len(firsts)]["text"])
-
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    seen = save(ordered.mapInArrow(run, _DDL), "fingerprints")
-    edges = seen.filter("edge is not null").coalesce(1).mapInArrow(close, _DDL)
-    names = [n for n, _ in _ROW]
-    return seen.filter("edge is null").select(*names).unionByName(edges.select(*names))
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 50 * n)).first()[0] or []
+    bounds = np.unique(np.array(bounds, dtype=np.int64))
+
+    @F.pandas_udf("int")
+    def bucket_of(doc_id: pd.Series) -> pd.Series:
+        null = doc_id.isna()
+        at = 1 + np.searchsorted(bounds, doc_id.fillna(0).astype("int64"), side="right")
+        return pd.Series(np.where(null, 0, at).astype("int32"))
+
+    rows = rows.withColumn("bucket", bucket_of("doc_id"))
+    # at most a head for each bound, one for the ids before the first and one for null
+    heads = sorted((r.bucket, r.head) for r in rows.groupBy("bucket").agg(F.min("doc_id").alias("head")).collect())
+    wanted = F.col("doc_id").isin([h for _, h in heads if h is not None])
+    if any(h is None for _, h in heads):
+        wanted = wanted | F.col("doc_id").isNull()
+    before = {b: heads[k - 1][0] for k, (b, _) in enumerate(heads)}
+    tails = rows.filter(wanted).groupBy("bucket").agg(F.min("text").alias("text"))
+    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0), F.lit(0))
+    tails = tails.select(F.lit(None).cast("long").alias("doc_id"), "text", to[F.col("bucket")].alias("bucket"), F.lit(True).alias("tail"))
+    both = rows.withColumn("tail", F.lit(False)).unionByName(tails)
+    ordered = both.repartition(n, "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "text")
+    return ordered.mapInArrow(_followed, _DDL)
