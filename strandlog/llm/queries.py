@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlog.llm import fingerprints, line_dedup, mixing, ngram_join, packing, quality
+from strandlog.llm import chat_format, fingerprints, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_counts
 from strandlog.llm.common import table
 
 
@@ -22,6 +22,18 @@ def op2_ngram_join(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op3_token_counts(spark, sf_dir):
+    return token_counts.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_chat_format(spark, sf_dir):
+    return chat_format.render(table(spark, sf_dir, "conversations"))
+
+
+def op5_secret_scan(spark, sf_dir):
+    return secret_scan.secrets_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -33,6 +45,9 @@ def op8_quality(spark, sf_dir):
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_join": op2_ngram_join,
+    "op3_token_counts": op3_token_counts,
+    "op4_chat_format": op4_chat_format,
+    "op5_secret_scan": op5_secret_scan,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_fingerprints": op9_fingerprints,
@@ -40,6 +55,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_chat_format": chat_format.SQL,
     "op8_quality": quality.SQL,
     "op10_mixing": mixing.SQL,
 }
