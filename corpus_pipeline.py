@@ -1,8 +1,59 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents to packed training sequences in five stages.
 
-STAGES = []
+Each stage takes what the one before it kept. All but the last return the columns of documents; the last returns the
+packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strandlog.llm import line_dedup, mixing, ngram_join, packing, quality
+from strandlog.llm.common import save, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the quality rules go."""
+    return quality.keep_good(docs)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs are cut out; documents that were nothing else go."""
+    return line_dedup.without_copies(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each component of links at 80 % likeness of five-word shingles."""
+    return ngram_join.keep_first(docs, k=5, percent=80)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken no times, once or twice, so that each source has its share of words."""
+    return mixing.mix(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenized pieces with their places in sequences of at most 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup_stage),
+    ("ngram_jaccard_join", near_duplicates),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: Line dedup, components and packing have no SQL form that runs on whole tables; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each one's rows written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = save(docs, f"stage-{name}")
+    return docs

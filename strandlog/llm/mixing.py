@@ -95,16 +95,17 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, repeated as often as they are taken, with the columns they came with."""
+    """The documents of the mix, repeated as often as they are taken, with the columns they came with.
+
+    Rows that share doc_id, source and size are taken as often as one of them, chosen by a hash of the text.
+    """
     sized = docs.select("doc_id", "source", n_words_of(text_of()).alias("size"))
-    n = copies_per_document(sized).select("doc_id", "source", "size", "copies")
-    n = n.groupBy("doc_id", "source", "size").agg(F.collect_list("copies").alias("_copies"))
-    again = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    rows = docs.withColumn("_size", n_words_of(text_of())).withColumn("_nth", F.row_number().over(again))
-    rows = rows.alias("d").join(n.alias("n"), F.expr("d.doc_id <=> n.doc_id and d.source <=> n.source and d._size = n.size"))
-    taken = rows.withColumn("_taken", F.element_at("_copies", F.col("_nth"))).filter("_taken > 0")
-    taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_taken").cast("int"))))
-    return taken.select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    n = copies_per_document(sized).groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
+    rows = docs.withColumn("_size", n_words_of(text_of())).alias("d")
+    rows = rows.join(n.alias("n"), F.expr("d.doc_id <=> n.doc_id and d.source <=> n.source and d._size = n.size"))
+    taken = F.expr("_copies[pmod(xxhash64(d.text), size(_copies))]").cast("int")
+    rows = rows.withColumn("_taken", taken).filter("_taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_taken"))))
+    return rows.select(*[F.col(f"d.`{c}`") for c in docs.columns])
 
 
 SQL = r"""

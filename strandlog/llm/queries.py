@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlog.llm import chat_format, fingerprints, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_counts
+from strandlog.llm import chat_format, fingerprints, html_extract, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_counts
 from strandlog.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op5_secret_scan(spark, sf_dir):
     return secret_scan.secrets_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_chat_format": op4_chat_format,
     "op5_secret_scan": op5_secret_scan,
+    "op6_html_extract": op6_html_extract,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_fingerprints": op9_fingerprints,
