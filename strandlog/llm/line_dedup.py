@@ -51,9 +51,9 @@ def _numbered(keys: DataFrame, by: list[str], name: str) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, first, last: the runs of lines (numbered from 0) to delete; maximal and apart."""
     lines = save(_lines(docs), "lines")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct(*_DOC, "seq")).alias("first"), F.max(F.struct(*_DOC, "seq")).alias("last"))
-    # rows that are equal altogether were not told apart above: they are one document
-    ids = _numbered(distinct.filter("first <> last").select("h1", "h2"), ["h1", "h2"], "line-ids")
+    distinct = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
+    ids = _numbered(distinct.select("h1", "h2"), ["h1", "h2"], "line-ids")
+    # rows that are equal altogether are one document
     once = lines.join(ids, ["h1", "h2"]).select(*_DOC, "seq", "line", "n_words", "rank").dropDuplicates([*_DOC, "seq"])
     suffixes = save(once, "line-suffixes")
     along = Window.partitionBy(*_DOC).orderBy("seq")
