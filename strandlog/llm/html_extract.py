@@ -266,8 +266,9 @@ def main_text(html: str | None, weights) -> str:
 
 def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html). A null html is empty and has no text."""
-    some = pages.filter("html is not null").select("html", F.xxhash64("page_id").alias("h")).orderBy("h", "html").limit(sample)
-    weights = train([r.html for r in some.select("html").collect()])
+    least = pages.filter("html is not null and page_id is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    some = pages.filter(F.col("page_id").isin([r.page_id for r in least.collect()])).select("html").limit(2 * sample)
+    weights = train(sorted(r.html or "" for r in some.collect()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
