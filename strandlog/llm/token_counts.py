@@ -1,7 +1,8 @@
 """Token counts as delta-maintained rollups.
 
-A batch holds signed events: +1 inserts a document, -1 deletes one, a revision is -1 of the old text and +1 of the new.
-Each batch is counted once, reduced to signed sums by source, lang and tokenizer, and committed as one folder
+Texts are counted once into a narrow table. A batch holds signed events on counted documents: +1 inserts one, -1 deletes
+it, a revision is -1 of the old counts and +1 of the new. A batch is reduced to signed sums by source, lang and
+tokenizer, before the shuffle already, and committed as one folder
 ``batch=<id>`` that is written aside and then moved into place, so a batch is there whole or not at all, and committing
 it again changes nothing. The totals are the sum of the committed deltas, which is additive: a new batch costs its own
 rows only, and compaction replaces many deltas by their sum.
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import shared_dir, words_of
+from strandlog.llm.common import save, shared_dir
 from strandlog.llm.tokens import encoder, vocabulary_path
 
 TOKENIZERS = ("byte_bpe_50k", "byte_bpe_multi_50k")
@@ -24,31 +25,27 @@ KEYS = ("source", "lang", "tokenizer")
 _DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
-def counted(events: DataFrame, tokenizers=TOKENIZERS, paths: dict | None = None) -> DataFrame:
-    """source, lang, tokenizer, n_docs, n_tokens of a batch of events (sign, source, lang, text).
-
-    Null texts have no tokens but count as documents; null sources and langs are keys like others. Counts are summed
-    within each Arrow batch already, so what is shuffled is a row per key and batch.
-    """
+def counted(texts: DataFrame, tokenizers=TOKENIZERS, paths: dict | None = None) -> DataFrame:
+    """doc_id, source, lang, tokenizer, n_tokens of every row of texts (doc_id, source, lang, text): a narrow table, so
+    that later joins don't move texts. Null texts have no tokens; null sources and langs are keys like others."""
     paths = paths or {name: vocabulary_path(f"{name}.tiktoken") for name in tokenizers}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = [(name, encoder(path, special=False).encode) for name, path in paths.items()]
         for batch in batches:
-            sums: dict[tuple, list[int]] = {}
-            for sign, source, lang, text in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3)):
-                text = text.as_py()
-                for name, encode in encoders:
-                    at = sums.setdefault((source, lang, name), [0, 0])
-                    at[0] += sign
-                    at[1] += sign * len(encode(text))
-            rows = [(*key, *value) for key, value in sums.items()]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            names = [*KEYS, "n_docs", "n_tokens"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
-
-    given = events.select(F.col("sign").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    return _summed(given.mapInArrow(count, _DELTA))
+            for name, encode in encoders:
+                n = [len(encode(text.as_py())) for text in batch.column(3)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:3], pa.array([name] * len(n), pa.string()), pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "tokenizer", "n_tokens"]
+                )
+
+    given = texts.select(F.col("doc_id").cast("long"), *[F.col(c).cast("string") for c in ("source", "lang", "text")])
+    return given.mapInArrow(count, "doc_id long, source string, lang string, tokenizer string, n_tokens long")
+
+
+def signed(counts: DataFrame, sign: int) -> DataFrame:
+    """The events that insert (1) or delete (-1) counted documents, as deltas."""
+    return counts.select(*KEYS, F.lit(sign).cast("long").alias("n_docs"), (sign * F.col("n_tokens")).alias("n_tokens"))
 
 
 def _summed(deltas: DataFrame) -> DataFrame:
@@ -69,12 +66,12 @@ class Rollup:
         at, fs = self._at(f"batch={batch}")
         return fs.exists(at)
 
-    def commit(self, batch: str, events: DataFrame, **options) -> bool:
-        """Adds a batch; False if it was there already, and then nothing is read or counted again."""
+    def commit(self, batch: str, deltas: DataFrame) -> bool:
+        """Adds a batch of signed deltas; False if it was there already, and then nothing is read again."""
         if self.committed(batch):
             return False
         aside = f"_aside-{uuid.uuid4().hex}"
-        counted(events, **options).coalesce(1).write.parquet(f"{self.path}/{aside}")
+        _summed(deltas).coalesce(1).write.parquet(f"{self.path}/{aside}")
         (source, fs), (target, _) = self._at(aside), self._at(f"batch={batch}")
         if not fs.rename(source, target):
             raise OSError(f"batch {batch} could not be committed")
@@ -86,34 +83,24 @@ class Rollup:
         return _summed(deltas).filter("n_docs <> 0 or n_tokens <> 0")
 
 
-def inserts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.lit(1).alias("sign"), "source", "lang", "text")
-
-
-def deletes(docs: DataFrame) -> DataFrame:
-    return docs.select(F.lit(-1).alias("sign"), "source", "lang", "text")
-
-
-def revisions(docs: DataFrame, revised) -> DataFrame:
-    """Events that put ``revised`` (a column) in the place of each text that it changes."""
-    changed = docs.withColumn("revised", revised).filter(~F.col("text").eqNullSafe(F.col("revised")))
-    return deletes(changed).unionByName(changed.select(F.lit(1).alias("sign"), "source", "lang", F.col("revised").alias("text")))
-
-
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The totals after three batches over all documents, each committed twice: every document is inserted, those
-    labelled toxic are deleted again, and every other text of several lines is revised to have no line of it twice."""
+    labelled toxic are deleted again, and the others are revised to have no line twice (old counts out, new ones in)."""
     spark = docs.sparkSession
     rollup = Rollup(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
-    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
     lines = F.split("text", "\n")
-    revised = F.when(F.size(words_of(F.col("text"))) > 0, F.array_join(F.array_distinct(lines), "\n")).otherwise(F.col("text"))
+    repeats = F.size(F.array_distinct(lines)) < F.size(lines)
+    before = save(counted(docs), "token-before")
+    after = save(counted(docs.filter(repeats).withColumn("text", F.array_join(F.array_distinct(lines), "\n"))), "token-after")
+    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
+    stays = lambda counts: counts.join(toxic, "doc_id", "left_anti")
+    revised = stays(before.join(after.select("doc_id").distinct(), "doc_id", "left_semi"))
     batches = {
-        "0-inserts": inserts(docs),
-        "1-deletes": deletes(docs.join(toxic, "doc_id", "left_semi")),
-        "2-revisions": revisions(docs.join(toxic, "doc_id", "left_anti").filter(F.size(F.array_distinct(lines)) < F.size(lines)), revised),
+        "0-inserts": signed(before, 1),
+        "1-deletes": signed(before.join(toxic, "doc_id", "left_semi"), -1),
+        "2-revisions": signed(revised, -1).unionByName(signed(stays(after), 1)),
     }
     for _ in range(2):
-        for name, events in batches.items():
-            rollup.commit(name, events)
+        for name, deltas in batches.items():
+            rollup.commit(name, deltas)
     return rollup.totals()
