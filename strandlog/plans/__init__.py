@@ -1,6 +1,6 @@
 """The registered queries of the evidence operators and their SQL."""
 
-from strandlog.plans import graphs, registry, relational  # noqa: F401
+from strandlog.plans import graphs, registry, relational, statistics  # noqa: F401
 
 
 def queries() -> dict:
