@@ -1,6 +1,6 @@
 """The registered queries of the evidence operators and their SQL."""
 
-from strandlog.plans import evidence, graphs, provenance, registry, relational, statistics  # noqa: F401
+from strandlog.plans import evidence, graphs, provenance, registry, relational, statistics, streams  # noqa: F401
 
 
 def queries() -> dict:
