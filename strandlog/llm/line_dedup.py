@@ -102,8 +102,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return islands.groupBy(*_DOC, "island").agg(F.min("line").alias("first"), F.max("line").alias("last")).drop("island")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the later copies of repeated runs cut out of text, and runs, an array of the (first, last) lines cut.
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, runs_as: str = "runs") -> DataFrame:
+    """docs with the later copies of repeated runs cut out of text, and an array of the (first, last) lines cut as ``runs_as``.
 
     Lines are split at \\n and compared without the white space around them; a line without a word goes only if it lies
     within a run. Earlier means smaller doc_id (null first), then smaller text hash, then line. Rows with equal doc_id
@@ -111,11 +111,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     runs = repeated_runs(docs, min_words)
     runs = runs.groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_runs"))
-    d = docs.withColumn("_hash", F.xxhash64(text_of())).alias("d")
-    d = d.join(runs.alias("r"), F.expr("d.doc_id <=> r.doc_id and d._hash = r.text_hash"), "left")
-    d = d.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("r._runs").alias("runs"))
-    cut = F.array_join(F.expr(r"filter(split(text, '\n'), (x, i) -> not exists(runs, r -> i between r.first and r.last))"), "\n")
-    return d.withColumn("text", F.when(F.col("runs").isNull(), F.col("text")).otherwise(cut)).withColumn("runs", F.coalesce("runs", F.expr("cast(array() as array<struct<first: int, last: int>>)")))
+    d = docs.withColumn("__hash", F.xxhash64(text_of())).alias("d")
+    d = d.join(runs.alias("r"), F.expr("d.doc_id <=> r.doc_id and d.__hash = r.text_hash"), "left")
+    cut = F.array_join(F.expr(r"filter(split(d.text, '\n'), (x, i) -> not exists(r._runs, y -> i between y.first and y.last))"), "\n")
+    text = F.when(F.col("r._runs").isNull(), F.col("d.text")).otherwise(cut).alias("text")
+    none = F.expr("cast(array() as array<struct<first: int, last: int>>)")
+    return d.select(*[text if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], F.coalesce("r._runs", none).alias(runs_as))
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
@@ -128,8 +129,8 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """docs with the copies cut out, n_chars anew, less the rows that nothing is left of; same columns."""
-    d = dedup_lines(docs)
-    d = d.filter((F.size("runs") == 0) | (F.btrim("text", F.lit(_BLANKS)) != ""))
+    d = dedup_lines(docs, runs_as="__runs")
+    d = d.filter((F.size("__runs") == 0) | (F.btrim("text", F.lit(_BLANKS)) != ""))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.size("runs") == 0, F.col("n_chars")).otherwise(F.length("text")))
+        d = d.withColumn("n_chars", F.when(F.size("__runs") == 0, F.col("n_chars")).otherwise(F.length("text")))
     return d.select(*docs.columns)

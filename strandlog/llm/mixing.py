@@ -62,7 +62,7 @@ def copies_per_document(sized: DataFrame, seed: str = "mix", **targets) -> DataF
     """
     binary = F.bin("size")
     keyed = sized.withColumn("_class", F.concat(F.lpad(F.length(binary).cast("string"), 2, "0"), F.substring(binary, 1, 4)))
-    keyed = keyed.withColumn("_slice", F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2))
+    keyed = keyed.withColumn("_slice", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2))
     keyed = save(keyed, "mix-sized")
     slices = keyed.groupBy("source", "_class", "_slice").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     slices = save(slices, "mix-slices")
@@ -101,10 +101,10 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     sized = docs.select("doc_id", "source", n_words_of(text_of()).alias("size"))
     n = copies_per_document(sized).groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
-    rows = docs.withColumn("_size", n_words_of(text_of())).alias("d")
-    rows = rows.join(n.alias("n"), F.expr("d.doc_id <=> n.doc_id and d.source <=> n.source and d._size = n.size"))
+    rows = docs.withColumn("__size", n_words_of(text_of())).alias("d")
+    rows = rows.join(n.alias("n"), F.expr("d.doc_id <=> n.doc_id and d.source <=> n.source and d.__size = n.size"))
     taken = F.expr("_copies[pmod(xxhash64(d.text), size(_copies))]").cast("int")
-    rows = rows.withColumn("_taken", taken).filter("_taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_taken"))))
+    rows = rows.withColumn("__taken", taken).filter("__taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__taken"))))
     return rows.select(*[F.col(f"d.`{c}`") for c in docs.columns])
 
 

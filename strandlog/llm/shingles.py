@@ -68,7 +68,9 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def _joined(hashes: np.ndarray, n: int, k: int) -> np.ndarray:
     """The hash of each run of k words among n."""
-    out = np.full(max(0, n - k + 1), np.uint64(k * 0xD6E8FEB86659FD93 % 2**64), dtype=np.uint64)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    out = np.full(n - k + 1, np.uint64(k * 0xD6E8FEB86659FD93 % 2**64), dtype=np.uint64)
     for j in range(k):
         out = out * np.uint64(0xFF51AFD7ED558CCD) + hashes[j : n - k + 1 + j]
         out ^= out >> np.uint64(29)

@@ -5,7 +5,7 @@ it, a revision is -1 of the old counts and +1 of the new. A batch is reduced to
 tokenizer, before the shuffle already, and committed as one folder
 ``batch=<id>`` that is written aside and then moved into place, so a batch is there whole or not at all, and committing
 it again changes nothing. The totals are the sum of the committed deltas, which is additive: a new batch costs its own
-rows only, and compaction replaces many deltas by their sum.
+rows only.
 """
 
 from __future__ import annotations
