@@ -18,7 +18,6 @@ No step returns all pairs of a bucket as rows.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -201,33 +200,42 @@ def _cross_links(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
                 if r[3] != s[3] and (i == j or r[0] != s[0]):
                     yield r, s
 
-    candidate_schema = pa.schema([("doc_id", pa.int64()), ("shingle", pa.int64()), ("others", pa.binary())])
+    candidate_schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64()), ("others", pa.binary())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each document and shingle, the others (doc_id, n) that it may be linked with."""
         for (shingle, i, j), rows in grouped(batches).items():
-            met: dict[int, list] = defaultdict(list)
+            met: dict[tuple, list] = defaultdict(list)
             for r, s in partners(rows, i, j):
-                met[r[1]].append(s[1])
-                met[s[1]].append(r[1])
+                met[r[1:3]] += s[1:3]
+                met[s[1:3]] += r[1:3]
             if met:
-                yield pa.RecordBatch.from_pylist([{"doc_id": d, "shingle": shingle, "others": np.array(o, np.int64).tobytes()} for d, o in met.items()], schema=candidate_schema)
+                yield pa.RecordBatch.from_pylist([{"doc_id": d, "n": n, "shingle": shingle, "others": np.array(o, np.int64).tobytes()} for (d, n), o in met.items()], schema=candidate_schema)
 
     def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each document the shingles that are the least it shares with some other."""
-        groups: dict[int, list] = defaultdict(list)
+        """For each document the shingles that are the least it shares with some other.
+
+        Up to the smaller of two prefixes' ends both sets are known whole, so a set that ends there misses there all of
+        its prefix but what the prefixes share. Others that share too little for either to be so few apart are left out.
+        """
+        groups: dict[tuple, list] = defaultdict(list)
         for batch in batches:
-            for doc_id, shingle, others in zip(*[c.to_pylist() for c in batch.columns]):
-                groups[doc_id].append((shingle % 2**64, shingle, others))
+            for doc_id, n, shingle, others in zip(*[c.to_pylist() for c in batch.columns]):
+                groups[doc_id, n].append((shingle % 2**64, shingle, np.frombuffer(others, np.int64).reshape(-1, 2)))
         rows = []
-        for doc_id, some in groups.items():
+        for (doc_id, n), some in groups.items():
             some.sort(key=lambda x: x[0])  # in the order of the prefixes, as unsigned numbers
-            seen = np.zeros(0, np.int64)
-            last = None
+            ids, first, shared = np.unique(np.concatenate([o[:, 0] for *_, o in some]), return_index=True, return_counts=True)
+            sizes = np.concatenate([o[:, 1] for *_, o in some])[first]
+            least = -(-num * (n + sizes) // (num + den))
+            prefixes = sizes - -(-num * sizes // den) + 1
+            near = (prefix_length(n, num, den) - shared <= n - least) | (prefixes - shared <= sizes - least)
+            left = set(ids[near].tolist())
             for _, shingle, others in some:
-                mine = np.frombuffer(others, np.int64)
-                if shingle != last and not np.isin(mine, seen).all() or shingle == last and rows[-1]["shingle"] != shingle and not np.isin(mine, seen).all():
+                hit = left.intersection(others[:, 0].tolist())
+                if hit:
+                    left -= hit
                     rows.append({"doc_id": doc_id, "shingle": shingle})
-                seen, last = np.union1d(seen, mine), shingle
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("shingle", pa.int64())]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +256,7 @@ def _cross_links(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
                 yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     key = ["shingle", "i", "j"]
-    met = save(blocked.repartition(parts, *key).mapInArrow(candidates, "doc_id long, shingle long, others binary"), "ngram-met")
+    met = save(blocked.repartition(parts, *key).mapInArrow(candidates, "doc_id long, n long, shingle long, others binary"), "ngram-met")
     wanted = met.repartition(parts, "doc_id").mapInArrow(owners, "doc_id long, shingle long").distinct()
     whole = blocked.join(wanted, ["shingle", "doc_id"], "left_semi").join(sets.select("doc_id", "shingles"), "doc_id")
     whole = whole.select(*key, "own", "doc_id", "n", "component", "shingles")
