@@ -14,6 +14,7 @@ from strandlog.functions.lineage import cut
 MAX_HOPS = 12
 MIN_FANOUT = 2
 MAX_FRONTIER = 2_000_000_000
+PRUNE_EVERY = 3
 TYPOLOGIES = ("CYCLE", "GATHER-SCATTER", "SCATTER-GATHER", "STACK")
 FLAG_CAPABLE = ("CYCLE", "SCATTER-GATHER")
 
@@ -54,21 +55,21 @@ def return_paths(pairs: DataFrame, min_level: int, max_frontier: int = MAX_FRONT
     """
     core = _core(pairs.select("src", "dst"))
     step = core.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    open_pairs = core
-    frontier = cut(core.select(F.col("dst").alias("root")).distinct().select("root", F.col("root").alias("node"), F.array("root").alias("path")), "frontier")
-    seen, found = frontier.select("root", "node"), []
+    wanted = core.select("src", F.col("dst").alias("root"))
+    frontier = cut(wanted.select("root").distinct().select("root", F.col("root").alias("node"), F.array("root").alias("path")), "frontier")
+    seen, live, found = frontier.select("root", "node"), None, None
     for level in range(MAX_HOPS):
         if level >= min_level:
             closing = frontier.join(step, "node").select("root", F.col("next").alias("src"), "node", "path")
-            hits = closing.join(open_pairs.select("src", F.col("dst").alias("root")), ["root", "src"])
-            hits = hits.groupBy("src", "root").agg(F.min_by("path", "node").alias("path"))
-            hits = cut(hits.select("src", F.col("root").alias("dst"), F.lit(level).alias("level"), "path"), "hits")
-            found.append(hits)
-            open_pairs = cut(open_pairs.join(hits, ["src", "dst"], "left_anti"), "open-pairs")
+            hits = closing.join(wanted, ["root", "src"]).groupBy("src", "root").agg(F.min_by("path", "node").alias("path")).withColumn("level", F.lit(level))
+            found = hits if found is None else found.unionByName(hits)
         if level == MAX_HOPS - 1:
             break
-        live = frontier.join(open_pairs.select(F.col("dst").alias("root")).distinct(), "root", "left_semi")
-        reached = live.join(step, "node").groupBy("root", "next").agg(F.min_by("path", "node").alias("path"))
+        if level and level % PRUNE_EVERY == 0:  # roots whose pairs are all settled go no further
+            found = cut(found, "hits")
+            live = cut(wanted.join(found, ["src", "root"], "left_anti").select("root").distinct(), "live")
+        on = frontier if live is None else frontier.join(live, "root", "left_semi")
+        reached = on.join(step, "node").groupBy("root", "next").agg(F.min_by("path", "node").alias("path"))
         reached = reached.select("root", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
         frontier = cut(reached.join(seen, ["root", "node"], "left_anti"), "frontier")
         size = frontier.count()
@@ -77,10 +78,10 @@ def return_paths(pairs: DataFrame, min_level: int, max_frontier: int = MAX_FRONT
         if not size:
             break
         seen = seen.union(frontier.select("root", "node"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    if found is None:  # not even a first hop
+        found = frontier.select(F.col("root").alias("src"), "root", "path", F.lit(0).alias("level"))
+    best = found.groupBy("src", F.col("root").alias("dst")).agg(F.min("level").alias("level"), F.min_by("path", "level").alias("path"))
+    return cut(best, "paths")
 
 
 def nearest_sinks(pairs: DataFrame, sink_accounts: DataFrame, hops: int = MAX_HOPS - 1) -> DataFrame:
