@@ -69,19 +69,19 @@ def _(v: Views) -> DataFrame:
     return S.closure_open_counts(v.inheritance)
 
 
-WILSON = "select belief_id, window_start, greatest(0.0, (p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n)) as low, least(1.0, (p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n)) as high from (select *, correct / n as p from perf)"
+WILSON = "select belief_id, window_start, round(greatest(0.0, (p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n)), 9) as low, round(least(1.0, (p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n)), 9) as high from (select *, correct / n as p from perf)"
 
 
 @query("wilson_interval", PERF + WILSON)
 def _(v: Views) -> DataFrame:
     low, high = wilson(F.col("correct"), F.col("n"))
-    return S.belief_performance(v.decisions, v.windows).select("belief_id", "window_start", low.alias("low"), high.alias("high"))
+    return S.belief_performance(v.decisions, v.windows).select("belief_id", "window_start", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
 @query("wilson_by_roots", PERF + WILSON)
 def _(v: Views) -> DataFrame:
     low, high = wilson_by_roots(F.col("correct"), F.col("n"))
-    return S.belief_performance(v.decisions, v.windows).select("belief_id", "window_start", low.alias("low"), high.alias("high"))
+    return S.belief_performance(v.decisions, v.windows).select("belief_id", "window_start", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
 ENDS = """, ends as (select belief_id, arg_min(window_start, window_start) as first_window_start, arg_min(n, window_start) as first_n, arg_min(correct, window_start) as first_correct,
