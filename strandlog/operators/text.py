@@ -65,3 +65,8 @@ def verbatim_coverage(fragments: DataFrame, sources: DataFrame, floor: float = 0
     hits = s.join(f, "w").groupBy("fragment", "source").agg(F.count("*").alias("k")).groupBy("fragment").agg(F.max("k").alias("k"))
     d = total.join(hits, "fragment", "left").withColumn("coverage", F.coalesce("k", F.lit(0)) / F.col("total"))
     return d.select("fragment", "coverage", (F.col("coverage") < floor).alias("suspect"))
+
+
+def embed_input(doc: str, section: str, body: str) -> Column:
+    """The text that stands for a chunk where it is embedded: its document, its section if it has one, its body."""
+    return F.concat_ws(" / ", F.concat(F.lit("document "), F.col(doc).cast("string")), section, body)

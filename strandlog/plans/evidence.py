@@ -281,3 +281,17 @@ def _(v: Views) -> DataFrame:
     for part in ("verdict = 'approve'", "verdict <> 'approve'"):
         v.decisions.filter(part).write.mode("append").parquet(at)
     return v.spark.read.parquet(at).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("embed_input", CHUNKS + "select doc, cast(ordinal as int) as ordinal, concat_ws(' / ', 'document ' || doc, section, body) as said from chunks")
+def _(v: Views) -> DataFrame:
+    return X.chunk_documents(lines(v)).select("doc", "ordinal", X.embed_input("doc", "section", "body").alias("said"))
+
+
+@query("retrieve_regulation", f"""select query_id, vec_id from (select q.vec_id as query_id, x.vec_id, row_number() over (partition by q.vec_id order by {COS}, x.vec_id) as r
+  from v_vectors q, v_vectors x where q.vec_id < 10 and x.source in (1, 2, 3) and x.vec_id % 10 <> 7) where r <= 4""")
+def _(v: Views) -> DataFrame:
+    # a corpus of versions in which some chunks came after the instant that is asked about
+    log = v.vectors.selectExpr("vec_id as key", "case when vec_id % 10 = 7 then timestamp'2024-06-01' else timestamp'2024-01-01' end as commit_ts", "1 as seq", "source", "embedding", "false as deleted")
+    then = T.as_of(log, F.expr("timestamp'2024-03-01'")).select(F.col("key").alias("vec_id"), "source", "embedding")
+    return N.topk_cosine(v.vectors.filter("vec_id < 10"), then.filter("source in (1, 2, 3)"), 4).select("query_id", "vec_id")
