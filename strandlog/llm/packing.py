@@ -1,10 +1,10 @@
 """Best-fit packing of tokenized documents into sequences of bounded length by hierarchical residual packing.
 
 Pieces of full length are sequences of their own. The others are packed best-fit decreasing in chunks of bounded size,
-wherever they lie. Nearly full bins are emitted; the underfull ones travel up a tree as items: eight chunks' bins meet
-in one task and are packed best-fit again, until one group is left. A bin carries its members, of which it has at most
-as many as tokens. A group hands on at most ``MOST_OPEN`` bins, those with the most room, and emits the rest as they
-are, so a task never holds more than FAN_IN * MOST_OPEN bins, whatever the sizes are; every piece is placed either way.
+wherever they lie. Nearly full bins are emitted; the pieces of the underfull ones are the residue. Pieces of one length
+are interchangeable, so of the residue only the numbers of pieces per length go up, at most ``LENGTH`` numbers a task;
+their sums are packed best-fit decreasing at the top, exactly, whatever the order of the table. The plan there says which
+numbers of a length go to which bins, and the pieces, numbered within their length, look their places up in it.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.llm.common import save
@@ -23,15 +24,14 @@ from strandlog.llm.tokens import encoder, vocabulary_path
 LENGTH = 1024
 END_ID = 2
 CHUNK = 20_000
-FAN_IN = 8
-MOST_OPEN = 2_500
+MOST_OPEN = 2_500  # caps nothing any more; a test sets it
 SLACK = 8
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
-_BINS = f"closed boolean, chunk long, members array<struct<{_PIECES.replace(' long', ': long').replace(' int', ': int')}>>"
-_BIN_SCHEMA = pa.schema([("closed", pa.bool_()), ("chunk", pa.int64()), ("members", _MEMBERS)])
+_BINS = f"closed boolean, part long, number long, members array<struct<{_PIECES.replace(' long', ': long').replace(' int', ': int')}>>"
+_BIN_SCHEMA = pa.schema([("closed", pa.bool_()), ("part", pa.int64()), ("number", pa.int64()), ("members", _MEMBERS)])
 
 
 def cut(n: int, length: int) -> list[tuple[int, int]]:
@@ -87,60 +87,94 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return bins
 
 
-def _packed(members: list[list[dict]], chunk: int, length: int, last: bool) -> pa.RecordBatch:
-    """Packs groups of members that stay together; marks the bins that are done."""
-    sizes = [sum(m["length"] for m in group) for group in members]
-    bins = best_fit(sizes, length)
-    fills = [sum(sizes[i] for i in b) for b in bins]
-    hands_on = set() if last else set(sorted((i for i, fill in enumerate(fills) if fill < length - SLACK), key=lambda i: fills[i])[:MOST_OPEN])
-    rows = [[m for i in b for m in members[i]] for b in bins]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([i not in hands_on for i in range(len(bins))], pa.bool_()), pa.array([chunk] * len(bins), pa.int64()), pa.array(rows, _MEMBERS)], schema=_BIN_SCHEMA
-    )
+def best_fit_counts(counts: dict[int, int], length: int) -> list[tuple[int, int, int, int, int]]:
+    """Best-fit decreasing of counts[size] items of each size, by runs of bins with equal room. Rows (size, first number,
+    first bin, k, offset) in order: the items of that size from that number on, up to the next row's, go k to a bin."""
+    plan: list[tuple[int, int, int, int, int]] = []
+    with_room: list[list[tuple[int, int]]] = [[] for _ in range(length + 1)]
+    rooms = n_bins = 0
+    for size in sorted(counts, reverse=True):
+        number, left = 0, counts[size]
+        while left:
+            fits = rooms >> size
+            if fits:
+                room = size + (fits & -fits).bit_length() - 1
+                at, n = with_room[room].pop()
+                if not with_room[room]:
+                    rooms &= ~(1 << room)
+            else:
+                room, at, n = length, n_bins, -(-left // (length // size))
+                n_bins += n
+            k = room // size
+            for bins, each in ((min(n, left // k), k), (1, left % k)):
+                if bins and each and n and left:
+                    plan.append((size, number, at, each, length - room))
+                    if room > each * size:
+                        with_room[room - each * size].append((at, bins))
+                        rooms |= 1 << (room - each * size)
+                    number, left, at, n = number + bins * each, left - bins * each, at + bins, n - bins
+            if n:
+                with_room[room].append((at, n))
+                rooms |= 1 << room
+    return plan
 
 
 def pack_pieces(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32), each at most ``length`` long."""
+    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32), each from 1 to ``length`` long."""
     pieces = save(pieces, "pack-pieces")
-    whole = pieces.filter(F.col("length") >= length).select(F.array(F.struct(*pieces.columns)).alias("members"))
+    columns = pieces.columns
+    whole = pieces.filter(F.col("length") >= length).select(F.array(F.struct(*columns)).alias("members"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, k = TaskContext.get().partitionId(), [], 0
+        part, held, numbers = TaskContext.get().partitionId(), [], [0] * length
+
+        def packed(chunk: list[dict]) -> pa.RecordBatch:
+            rows = []
+            for b in best_fit([x["length"] for x in chunk], length):
+                members = [chunk[i] for i in b]
+                if sum(m["length"] for m in members) >= length - SLACK:
+                    rows.append((True, part, 0, members))
+                    continue
+                for m in members:
+                    rows.append((False, part, numbers[m["length"]], [m]))
+                    numbers[m["length"]] += 1
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BIN_SCHEMA.types)], schema=_BIN_SCHEMA)
+
         for batch in batches:
             held += batch.to_pylist()
             while len(held) >= CHUNK:
-                yield _packed([[x] for x in held[:CHUNK]], at * 2**20 + k, length, False)
-                held, k = held[CHUNK:], k + 1
+                yield packed(held[:CHUNK])
+                held = held[CHUNK:]
         if held:
-            yield _packed([[x] for x in held], at * 2**20 + k, length, False)
+            yield packed(held)
 
-    def merged(last: bool):
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            groups: dict[int, list] = {}
-            for batch in batches:
-                for chunk, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    groups.setdefault(chunk, []).append(members)
-            for chunk, members in groups.items():
-                yield _packed(members, chunk, length, last)
+    level = save(pieces.filter(F.col("length") < length).mapInArrow(local, _BINS), "pack-level")
+    residue = level.filter("not closed").select("part", "number", F.expr("members[0]").alias("m")).select("part", "number", "m.*")
+    counts = residue.groupBy("length", "part").agg(F.count("*").alias("n"))
+    plan = best_fit_counts({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, length)
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    numbered = residue.join(counts, ["length", "part"]).select(*columns, (F.col("before") + F.col("number")).alias("number"))
+    table = np.array(plan, dtype=np.int64).reshape(-1, 5)
+    table = table[np.lexsort((table[:, 1], table[:, 0]))]
+
+    def placed_by_plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = (table[:, 0] << 48) + table[:, 1]
+        for batch in batches:
+            size, number = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "number"))
+            row = table[np.searchsorted(keys, (size << 48) + number, side="right") - 1]
+            i = number - row[:, 1]
+            at = [pa.array(2 * (row[:, 2] + i // row[:, 3]) + 1), pa.array(row[:, 4] + i % row[:, 3] * size)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *at], names=[*columns, "sequence_id", "offset"])
 
-        return merge
+    spread = numbered.mapInArrow(placed_by_plan, f"{_PIECES}, sequence_id long, offset long")
 
-    level = save(pieces.filter(F.col("length") < length).mapInArrow(local, _BINS), "pack-level")
-    done = [whole, level.filter("closed").select("members")]
-    chunks = level.filter("not closed").select("chunk").distinct().count()
-    while chunks:
-        chunks = -(-chunks // FAN_IN)
-        open_bins = level.filter("not closed").select(F.pmod(F.hash("chunk"), F.lit(chunks)).cast("long").alias("chunk"), "members")
-        level = save(open_bins.repartition(chunks, "chunk").mapInArrow(merged(chunks == 1), _BINS), "pack-level")
-        done.append(level.filter("closed").select("members"))
-        chunks = 0 if chunks == 1 else chunks
-    bins = done[0]
-    for more in done[1:]:
-        bins = bins.unionByName(more)
-    placed = bins.select(F.monotonically_increasing_id().alias("sequence_id"), "members")
+    # even numbers for the bins that are done, odd ones for those of the plan
+    bins = whole.unionByName(level.filter("closed").select("members"))
+    placed = bins.select((2 * F.monotonically_increasing_id()).alias("sequence_id"), "members")
     at = "transform(members, (m, i) -> aggregate(slice(members, 1, i), 0L, (a, x) -> a + x.length))"
     placed = placed.select("sequence_id", F.explode(F.arrays_zip("members", F.expr(at).alias("offset"))).alias("m"))
-    return placed.select("m.members.*", "sequence_id", "m.offset")
+    return placed.select("m.members.*", "sequence_id", "m.offset").unionByName(spread)
 
 
 def pack(docs: DataFrame, **options) -> DataFrame:
