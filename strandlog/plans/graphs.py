@@ -267,9 +267,9 @@ def _(v: Views) -> DataFrame:
 @query("benign_sample_capped")
 def _(v: Views) -> DataFrame:
     rows = v.edges.join(v.labels, "txn_id")
-    fraud = rows.filter("label and format = 'RF'")
+    fraud = rows.filter("label")
     targets = fraud.select(F.explode(F.array("src", "dst")).alias("account")).distinct()
-    return D.benign_capped(rows.filter("not label"), targets, per_account=8, cap=4 * 500, order="txn_id").select("txn_id")
+    return D.benign_capped(rows.filter("not label"), targets, per_account=8, cap=4 * fraud.count(), order="txn_id").select("txn_id")
 
 
 CITED = """, claims as (
