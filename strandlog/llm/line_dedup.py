@@ -48,6 +48,13 @@ def _numbered(keys: DataFrame, by: list[str], name: str) -> DataFrame:
     return save(keys.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()), name)
 
 
+def _same_doc(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
+    """The join of a and b by document and ``by``, whose columns stay once; null ids equal each other."""
+    b = b.select(*[F.col(c).alias(f"__{c}") if c in (*_DOC, *by) else F.col(c) for c in b.columns])
+    on = [F.col("doc_id").eqNullSafe(F.col("__doc_id")), *(F.col(c) == F.col(f"__{c}") for c in ("text_hash", *by))]
+    return a.join(b, on).drop("__doc_id", "__text_hash", *(f"__{c}" for c in by))
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, first, last: the runs of lines (numbered from 0) to delete; maximal and apart."""
     lines = save(_lines(docs), "lines")
@@ -89,15 +96,15 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     stretches = forward.union(backward).distinct().withColumn("width", F.expr("cast(shiftleft(1, cast(floor(log2(n + 0.5D)) as int)) as int)"))
     begins = ranks.withColumnRenamed("rank", "begin")
     ends = ranks.select(*_DOC, F.col("seq").alias("end_seq"), "width", F.col("rank").alias("end"))
-    named = stretches.join(begins, [*_DOC, "seq", "width"]).withColumn("end_seq", F.col("seq") + F.col("n") - F.col("width"))
-    named = save(named.join(ends, [*_DOC, "end_seq", "width"]).select(*_DOC, "seq", "n", "begin", "end"), "line-stretches")
+    named = _same_doc(stretches, begins, "seq", "width").withColumn("end_seq", F.col("seq") + F.col("n") - F.col("width"))
+    named = save(_same_doc(named, ends, "end_seq", "width").select(*_DOC, "seq", "n", "begin", "end"), "line-stretches")
     place = F.struct(*_DOC, "seq")
     earliest = named.groupBy("n", "begin", "end").agg(F.min(place).alias("earliest"))
     later = named.join(earliest, ["n", "begin", "end"]).filter(place > F.col("earliest"))
     gone = later.select(*_DOC, F.explode(F.sequence("seq", F.col("seq") + F.col("n") - 1)).alias("seq")).distinct()
 
     # neighbours merge
-    gone = gone.join(suffixes.select(*_DOC, "seq", "line"), [*_DOC, "seq"])
+    gone = _same_doc(gone, suffixes.select(*_DOC, "seq", "line"), "seq")
     islands = gone.withColumn("island", F.col("seq") - F.row_number().over(along))
     return islands.groupBy(*_DOC, "island").agg(F.min("line").alias("first"), F.max("line").alias("last")).drop("island")
 
