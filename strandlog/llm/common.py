@@ -1,4 +1,4 @@
-"""What the training-data operators share: reading tables, cutting lineage, words."""
+"""What the training-data operators share: reading tables, writing them between steps, words."""
 
 from __future__ import annotations
 
@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+    """Writes df to the shared folder and reads it back: ends its plan and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)

@@ -25,22 +25,26 @@ KEYS = ("source", "lang", "tokenizer")
 _DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
-def counted(texts: DataFrame, tokenizers=TOKENIZERS, paths: dict | None = None) -> DataFrame:
+def counted(texts: DataFrame, tokenizers=TOKENIZERS, paths: dict | None = None, revised: str | None = None) -> DataFrame:
     """doc_id, source, lang, tokenizer, n_tokens of every row of texts (doc_id, source, lang, text): a narrow table, so
-    that later joins don't move texts. Null texts have no tokens; null sources and langs are keys like others."""
+    that later joins don't move texts. Null texts have no tokens; null sources and langs are keys like others. With
+    ``revised``, the name of a column with the text that takes each row's place (null: none does), also n_revised, its
+    tokens (null where there is none): old and new counts of one row stay together, whatever its doc_id."""
     paths = paths or {name: vocabulary_path(f"{name}.tiktoken") for name in tokenizers}
+    names = ["doc_id", "source", "lang", "tokenizer", "n_tokens", "n_revised"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = [(name, encoder(path, special=False).encode) for name, path in paths.items()]
         for batch in batches:
             for name, encode in encoders:
                 n = [len(encode(text.as_py())) for text in batch.column(3)]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:3], pa.array([name] * len(n), pa.string()), pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "tokenizer", "n_tokens"]
-                )
+                new = [len(encode(text.as_py())) if text.is_valid else None for text in batch.column(4)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([name] * len(n), pa.string()), pa.array(n, pa.int64()), pa.array(new, pa.int64())], names=names)
 
-    given = texts.select(F.col("doc_id").cast("long"), *[F.col(c).cast("string") for c in ("source", "lang", "text")])
-    return given.mapInArrow(count, "doc_id long, source string, lang string, tokenizer string, n_tokens long")
+    new = F.col(revised) if revised else F.lit(None)
+    given = texts.select(F.col("doc_id").cast("long"), *[F.col(c).cast("string") for c in ("source", "lang", "text")], new.cast("string").alias("revised"))
+    out = given.mapInArrow(count, "doc_id long, source string, lang string, tokenizer string, n_tokens long, n_revised long")
+    return out if revised else out.drop("n_revised")
 
 
 def signed(counts: DataFrame, sign: int) -> DataFrame:
@@ -85,20 +89,26 @@ class Rollup:
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The totals after three batches over all documents, each committed twice: every document is inserted, those
-    labelled toxic are deleted again, and the others are revised to have no line twice (old counts out, new ones in)."""
+    labelled toxic are deleted again, and the others are revised to have no line twice (old counts out, new ones in).
+
+    Every row of docs is a document of its own, whether its doc_id is null or also another row's: its old and new counts
+    come from one pass over that row. A label holds for all rows with its doc_id, a null one for those with none; several
+    labels of an id count as one. A null or empty text has no tokens but is a document. Other columns are ignored. Empty
+    tables give no totals.
+    """
     spark = docs.sparkSession
     rollup = Rollup(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
     lines = F.split("text", "\n")
-    repeats = F.size(F.array_distinct(lines)) < F.size(lines)
-    before = save(counted(docs), "token-before")
-    after = save(counted(docs.filter(repeats).withColumn("text", F.array_join(F.array_distinct(lines), "\n"))), "token-after")
-    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
-    stays = lambda counts: counts.join(toxic, "doc_id", "left_anti")
-    revised = stays(before.join(after.select("doc_id").distinct(), "doc_id", "left_semi"))
+    fewer = F.when(F.size(F.array_distinct(lines)) < F.size(lines), F.array_join(F.array_distinct(lines), "\n"))
+    given = docs.select("doc_id", "source", "lang", "text", fewer.alias("_revised"))
+    toxic = labels.filter("toxic = 1").select(F.col("doc_id").cast("long").alias("toxic_id"), F.lit(True).alias("toxic")).distinct()
+    rows = save(counted(given, revised="_revised"), "token-counts")
+    rows = rows.join(toxic, F.col("doc_id").eqNullSafe(F.col("toxic_id")), "left")
+    stays = rows.filter("toxic is null and n_revised is not null")
     batches = {
-        "0-inserts": signed(before, 1),
-        "1-deletes": signed(before.join(toxic, "doc_id", "left_semi"), -1),
-        "2-revisions": signed(revised, -1).unionByName(signed(stays(after), 1)),
+        "0-inserts": signed(rows, 1),
+        "1-deletes": signed(rows.filter("toxic"), -1),
+        "2-revisions": signed(stays, -1).unionByName(signed(stays.withColumn("n_tokens", F.col("n_revised")), 1)),
     }
     for _ in range(2):
         for name, deltas in batches.items():

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from strandlog.llm import html_extract, line_dedup, ngram_join, packing, queries, secret_scan, tokens
+from strandlog.llm import html_extract, line_dedup, ngram_join, packing, queries, secret_scan, token_counts, tokens
 from tests.oracle import assert_same
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -121,6 +121,23 @@ def test_token_counts(spark, data, documents):
     assert got == {k: (n[k], words[k]) for k in n}
 
 
+def test_token_counts_of_odd_rows(spark):
+    """Null and repeated ids, repeated rows, null texts and labels, against a count row by row."""
+    schema = "doc_id long, text string, lang string, source string, n_docs long, toxic int"
+    rows = [(None, "a b\na b", "en", "s"), (None, "c", "en", "s"), (1, "x y\nx y", "en", "s"), (1, "z", "en", "s"), (1, "z", "en", "s"), (2, None, None, None), (3, "", "en", None), (4, "t\nt", "en", "s"), (5, "u\nu", "en", "s"), (5, "u\nu", "en", "s")]
+    docs = spark.createDataFrame([(*r, 7, 0) for r in rows], schema)
+    for bad in ([4], [4, 4, 1], [None, 5], []):
+        labels = spark.createDataFrame([(i, 0, 1) for i in bad] + [(2, 0, 0), (3, 0, None)], "doc_id long, quality int, toxic int")
+        n, words = Counter(), Counter()
+        for i, t, lang, source in rows:
+            for name in () if i in bad else token_counts.TOKENIZERS:
+                n[source, lang, name] += 1
+                text = "\n".join(dict.fromkeys((t or "").split("\n")))
+                words[source, lang, name] += len(tokens.encoder(tokens.vocabulary_path(f"{name}.tiktoken"), False).encode(text))
+        got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in token_counts.digest(docs, labels).collect()}
+        assert got == {k: (n[k], words[k]) for k in n}
+
+
 def test_chat_conversations_are_maximal(spark, data):
     convs = defaultdict(list)
     for r in spark.read.parquet(f"{data}/conversations.parquet").collect():
