@@ -1,17 +1,19 @@
 """Quality rules by the divergence of a document's distributions from those of its language.
 
 Two histograms of every document are held against the same histograms of all documents in its language: character
-classes, and the language's most common short words with one bin for all others. The Jensen-Shannon distance (the root
-of the divergence in bits, 0 to 1) of each must stay within a limit. Short texts are too noisy for that: below
-``min_words`` words a document is judged by the base rules alone.
+classes, and the language's most common words with one bin for all others. The Jensen-Shannon distance (the root of the
+divergence in bits, 0 to 1) of each must stay within a limit. Short texts are too noisy for that: below ``min_words``
+words a document is judged by the base rules alone.
 
-References are kept for languages with at least ``min_share`` of all words, at most 1 / min_share of them; the others
-(and null) share one pooled reference. So a reference table has at most (1 / min_share + 1) * top_words rows, 6,432 of
-some 60 bytes, whatever the corpus, and may be broadcast.
+Every language has a reference of its own, however few documents it has, and documents without one share one; so a
+verdict depends on the documents of the same language alone. References have ``top_words`` rows for each language and
+are joined by key; Spark broadcasts them only where their size, known as they are saved, allows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,21 +21,35 @@ from strandlog.llm.common import save, text_of, words_of
 
 MIN_WORDS = 60
 TOP_WORDS = 32
-SHORT = 6
-MIN_SHARE = 0.005
 MAX_CLASS_DISTANCE = 0.28
 MAX_WORD_DISTANCE = 0.45
 CLASSES = ("n_upper", "n_digits", "n_symbols", "n_points", "n_spaces", "n_extra_bytes", "n_rest")
 
 
+_ODD = "\t\x0b\x0c\r"
+
+
+def _split_words(text: str) -> Column:
+    """The words of a text column. Where blanks and line ends are its only white space, as nearly always, no pattern is
+    needed to split it."""
+    odd = reduce(lambda x, y: x | y, [F.contains(text, F.lit(c)) for c in _ODD])
+    plain = F.array_remove(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), "")
+    return F.when(odd, words_of(F.col(text))).otherwise(plain)
+
+
+def _ref(lang: str = "lang") -> Column:
+    """The key of a language's reference; that of no language differs from all others."""
+    return F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit(""))
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, a hash of the text, the base counts and the character classes of every row."""
+    """doc_id, lang, ref, a hash of the text, the base counts and the character classes of every row."""
     less = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
-    d = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
-    d = d.withColumn("words", words_of(F.col("text")))
+    d = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text")).withColumn("ref", _ref())
+    d = d.withColumn("words", _split_words("text"))
     d = d.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0))
     d = d.select(
-        "doc_id", "lang", "words", F.xxhash64("text").alias("text_hash"),
+        "doc_id", "lang", "ref", "words", F.xxhash64("text").alias("text_hash"),
         F.length("text").cast("long").alias("n_chars"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -65,35 +81,28 @@ def _distance(divergence: str) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.expr(divergence)))
 
 
-def quality(docs: DataFrame, min_words: int = MIN_WORDS, top_words: int = TOP_WORDS, min_share: float = MIN_SHARE,
-            max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+def quality(docs: DataFrame, min_words: int = MIN_WORDS, top_words: int = TOP_WORDS, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """One row per row of docs: doc_id, the base counts, base_failed, kept, and the two distances (null below min_words).
 
-    A null or empty text has no words and fails the base rules. Equal rows get equal verdicts. Columns other than
-    doc_id, text and lang are ignored.
+    A null or empty text has no words and fails the base rules. Documents without a lang are held against one another.
+    Equal rows get equal verdicts. Columns other than doc_id, text and lang are ignored.
     """
     base = save(base_counts(docs), "quality-base")
-    total = base.agg(F.sum("n_words").alias("all_words"))
-    langs = base.groupBy("lang").agg(F.sum("n_words").alias("n")).filter("lang is not null").crossJoin(F.broadcast(total))
-    langs = langs.filter(F.col("n") >= min_share * F.col("all_words")).select("lang", F.col("lang").alias("ref"))
-    langs = F.broadcast(save(langs, "quality-langs"))  # at most 1 / min_share rows
-    base = base.join(langs, "lang", "left").withColumn("ref", F.coalesce("ref", F.lit("")))
-
-    said = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
-    said = said.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), F.explode(words_of(F.col("text"))).alias("word"))
-    said = said.join(langs, "lang", "left").withColumn("ref", F.coalesce("ref", F.lit("")))
-    counts = said.filter(F.length("word") <= SHORT).groupBy("ref", "word").agg(F.count("*").alias("n"))
+    said = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text")).withColumn("ref", _ref())
+    said = said.select("doc_id", "ref", F.xxhash64("text").alias("text_hash"), F.explode(_split_words("text")).alias("word"))
+    counts = said.groupBy("ref", "word").agg(F.count("*").alias("n"))
     first = lambda by: Window.partitionBy(*by).orderBy(F.desc("n"), "word")
     common = counts.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(64)))
     common = common.withColumn("rank", F.row_number().over(first(["ref", "part"]))).filter(F.col("rank") <= top_words)
     common = common.withColumn("rank", F.row_number().over(first(["ref"]))).filter(F.col("rank") <= top_words)
     classes = base.groupBy("ref").agg(F.sum("n_words").alias("ref_words"), *[F.sum(c).alias(f"ref_{c}") for c in CLASSES])
-    common = common.join(F.broadcast(classes.select("ref", "ref_words")), "ref")
+    classes = save(classes, "quality-classes")
+    common = common.join(classes.select("ref", "ref_words"), "ref")
     common = save(common.select("ref", "word", "rank", (F.col("n") / F.col("ref_words")).alias("q")), "quality-common")
 
     # reference words are found by a 64-bit hash of language and word, which is one long to look up
     ids = common.select(F.xxhash64("ref", "word").alias("word_hash"), F.col("ref").alias("word_ref"), "rank")
-    seen = said.filter(F.length("word") <= SHORT).withColumn("word_hash", F.xxhash64("ref", "word")).join(F.broadcast(ids), "word_hash")
+    seen = said.withColumn("word_hash", F.xxhash64("ref", "word")).join(ids, "word_hash")
     seen = seen.groupBy("doc_id", "text_hash", "word_ref", "rank").agg(F.count("*").alias("n"))
     seen = seen.groupBy("doc_id", "text_hash", F.col("word_ref").alias("ref")).agg(F.array_sort(F.collect_list(F.struct("rank", "n"))).alias("seen"), F.sum("n").alias("hits"))
     # equal rows were counted together
@@ -101,7 +110,7 @@ def quality(docs: DataFrame, min_words: int = MIN_WORDS, top_words: int = TOP_WO
     seen = copies.alias("c").join(seen.alias("s"), F.expr("c.doc_id <=> s.doc_id and c.text_hash = s.text_hash and c.ref = s.ref"))
     seen = seen.select("c.*", "s.seen", "s.hits")
     refs = classes.join(common.groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("rank", "q"))).alias("common")), "ref", "left")
-    refs = F.broadcast(refs.withColumn("q", F.expr("transform(coalesce(common, array()), x -> x.q)")).withColumn("q_sum", F.expr("aggregate(q, 0D, (a, x) -> a + x)")).drop("common"))
+    refs = save(refs.withColumn("q", F.expr("transform(coalesce(common, array()), x -> x.q)")).withColumn("q_sum", F.expr("aggregate(q, 0D, (a, x) -> a + x)")).drop("common"), "quality-refs")
 
     d = base.alias("b").join(seen.alias("s"), F.expr("b.doc_id <=> s.doc_id and b.text_hash = s.text_hash and b.ref = s.ref"), "left")
     d = d.select("b.*", F.expr("coalesce(s.seen, array())").alias("seen"), F.expr("b.n_words * coalesce(s.copies, 1)").alias("seen_words"), F.expr("coalesce(s.hits, 0L)").alias("hits")).join(refs, "ref")
@@ -160,15 +169,12 @@ with d as (
     strlen(text) - length(text) as n_extra_bytes,
     coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
   from d left join repeats using (doc_id) left join lines using (doc_id)
-), large as (
-  select lang from base where lang is not null group by lang having sum(n_words) >= {MIN_SHARE} * (select sum(n_words) from base)
 ), counted as (
-  select *, n_chars - word_chars as n_spaces, word_chars - n_upper - n_digits - n_symbols - n_points as n_rest,
-    case when lang in (select lang from large) then lang else '' end as ref from base
+  select *, n_chars - word_chars as n_spaces, word_chars - n_upper - n_digits - n_symbols - n_points as n_rest, coalesce('=' || lang, '') as ref from base
 ), refs as (
   select ref, sum(n_words) as ref_words, {', '.join(f'sum({c}) as ref_{c}' for c in CLASSES)} from counted group by ref
 ), words as (
-  select ref, w, count(*) as n from positions join counted using (doc_id) where length(w) <= {SHORT} group by ref, w
+  select ref, w, count(*) as n from positions join counted using (doc_id) group by ref, w
 ), common as (
   select ref, w, n / ref_words as q from (select *, row_number() over (partition by ref order by n desc, w) as r from words)
   join refs using (ref) where r <= {TOP_WORDS}
