@@ -3,14 +3,17 @@
 The base spans are those of three patterns. Besides, every run of 20 or more characters of the encodings' alphabets is
 a candidate, unless it overlaps a base span. Its encoding is inferred (hex, base32, base64 with either pair of marks)
 and its symbols are tested for what random bytes would look like: chi-squared uniformity over the kinds of characters
-and over the alphabet, the runs test on high and low symbols, and lag-1 serial correlation. p is the least of the four
-p-values times four.
-
-Random candidates have p spread evenly over (0, 1], words and names have p near 0. Within a stratum of encoding and
-length the candidates over 0.5 tell how many are random, so for each threshold t the share of those over t that are not
-can be estimated; the lowest t that keeps this share within Q is the stratum's, and candidates over it are secrets. Short
-candidates, on which the tests have less power, so get a stricter threshold by themselves. Only a histogram of
-STEPS bins per stratum is gathered, at most 3 * LONGEST // BAND * STEPS rows for any corpus.
+and over the alphabet, the runs test on high and low symbols, and lag-1 serial correlation. The score is the least of the
+four p-values times four: spread over (0, 1] for random strings, near 0 for words and names.
+
+How often ordinary language reaches a score is measured, not assumed. Every different document yields a decoy for each
+encoding: a piece of its own text, at a place and of a length that follow from its hash, written the way identifiers and
+paths are (run together, with marks, or capitalised). A candidate's p-value is the share of decoys of its encoding and
+length band that score as high, plus one over their number plus one; short decoys score higher by chance, so short
+candidates get a stricter threshold. The Benjamini-Hochberg procedure over a stratum's different candidates then keeps
+the expected share of false ones among the secrets within ``Q``. A stratum with too few decoys, or too few candidates
+that stand out, has no secrets. Only a histogram of STEPS bins per stratum is gathered, 3 * len(BANDS) * STEPS rows at
+most for any corpus.
 """
 
 from __future__ import annotations
@@ -29,8 +32,7 @@ KINDS = ("assign", "access", "hex", "random")
 
 Q = 0.05
 STEPS = 50
-BAND = 8
-LONGEST = 160
+BANDS = (20, 24, 32, 48, 80, 160)  # the lengths at which strata begin, and the end of decoys
 _MARK = "\ue000"
 _ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -113,13 +115,38 @@ def randomness(candidates: DataFrame) -> DataFrame:
     return c.withColumn("p", F.least(F.lit(1.0), 4 * F.least("p0", "p1", "p2", "p3"))).select(*candidates.columns, "encoding", "n", "p")
 
 
+def decoys(docs: DataFrame) -> DataFrame:
+    """said: pieces of the documents' own text in the manner of identifiers, one per different text and encoding."""
+    d = docs.select(F.xxhash64("text").alias("h"), F.col("text").alias("t")).filter("t is not null")
+    h = lambda k: F.expr(f"xxhash64(h, {k})")
+    band = F.pmod(h(1), F.lit(len(BANDS) - 1)).cast("int")
+    edges = F.array(*[F.lit(x) for x in BANDS])
+    d = d.withColumn("least", edges[band]).withColumn("length", (F.col("least") + F.pmod(h(2), edges[band + 1] - F.col("least"))).cast("int"))
+    d = d.withColumn("piece", F.expr("substring(t, cast(1 + pmod(xxhash64(h, 3), greatest(1, length(t) - 6 * length)) as int), 6 * length)"))
+    # words that the window cuts, and what could be a secret itself, are left out
+    d = d.withColumn("piece", F.regexp_replace(F.regexp_replace("piece", r"^\S+|\S+$", ""), CANDIDATE, " "))
+    d = d.select("h", "length", "piece").dropDuplicates(["h"])
+    marks = F.array(*[F.lit(x) for x in ("", "_", "/", "-")])[F.pmod(h(4), F.lit(4)).cast("int")]
+    words = F.when(F.pmod(h(5), F.lit(2)) == 0, F.initcap("piece")).otherwise(F.col("piece"))
+    forms = F.array(
+        F.regexp_replace(words, F.lit("[^A-Za-z0-9]+"), marks), F.regexp_replace(F.upper("piece"), "[^A-Z2-7]+", ""), F.regexp_replace(F.lower("piece"), "[^0-9a-f]+", ""),
+    )
+    return d.select("length", F.explode(forms).alias("form")).select(F.expr("substring(form, 1, length)").alias("said")).filter(f"length(said) >= {BANDS[0]}")
+
+
+def _stratified(tested: DataFrame) -> DataFrame:
+    """Adds band (by length without padding) and bin (by score) to tested strings."""
+    band = " ".join(f"when n < {edge} then {k}" for k, edge in enumerate(BANDS[1:-1]))
+    return tested.withColumn("band", F.expr(f"case {band} else {len(BANDS) - 2} end")).withColumn("bin", F.expr(f"cast(least({STEPS - 1}, floor(p * {STEPS})) as int)"))
+
+
 def thresholds(tested: DataFrame, q: float = Q) -> DataFrame:
-    """encoding, band, threshold: the bin over which a stratum's candidates are secrets, if there is one."""
-    bins = tested.groupBy("encoding", "band", "bin").agg(F.count("*").alias("k"))
-    held = bins.groupBy("encoding", "band").agg(F.collect_list(F.struct("bin", "k")).alias("bins"))
-    held = held.withColumn("random", F.expr(f"2D * aggregate(filter(bins, b -> b.bin >= {STEPS // 2}), 0L, (a, b) -> a + b.k)"))
-    over = "aggregate(filter(bins, b -> b.bin >= t), 0L, (a, b) -> a + b.k)"
-    good = f"filter(sequence(1, {STEPS // 2}), t -> {over} > 0 and ({over} - random * ({STEPS} - t) / {STEPS}D) / {over} <= {q})"
+    """encoding, band, threshold: the bin from which on a stratum's candidates are secrets, if there is one. tested has a
+    row for each different candidate and each decoy (decoy true)."""
+    bins = tested.groupBy("encoding", "band", "bin").agg(F.count_if(~F.col("decoy")).alias("k"), F.count_if("decoy").alias("d"))
+    held = bins.groupBy("encoding", "band").agg(F.collect_list(F.struct("bin", "k", "d")).alias("bins"), F.sum("k").alias("candidates"), F.sum("d").alias("decoys"))
+    over = lambda col: f"aggregate(filter(bins, b -> b.bin >= t), 0L, (a, b) -> a + b.{col})"
+    good = f"filter(sequence(1, {STEPS - 1}), t -> {over('k')} > 0 and (1D + {over('d')}) / (1D + decoys) * candidates <= {q} * {over('k')})"
     return held.select("encoding", "band", F.expr(f"get({good}, 0)").alias("threshold")).filter("threshold is not null")
 
 
@@ -127,14 +154,15 @@ def find_secrets(docs: DataFrame, q: float = Q) -> DataFrame:
     """doc_id, base and found (arrays of spans by start, then kind) of every row of docs.
 
     Spans count code points, ends are exclusive. A null text is empty. Rows with equal doc_id and text get equal results.
+    Other columns are ignored; an empty table gives an empty one.
     """
     scanned = save(scan(docs), "secret-spans")
     c = scanned.select("doc_id", "text_hash", F.explode("candidates").alias("c")).distinct().select("doc_id", "text_hash", "c.*")
-    c = randomness(c).withColumn("band", F.least(F.lit(LONGEST), F.col("n")) / F.lit(BAND)).withColumn("band", F.floor("band").cast("int"))
-    c = save(c.withColumn("bin", F.least(F.lit(STEPS - 1), F.floor(F.col("p") * STEPS)).cast("int")).drop("said"), "secret-tests")
-    limits = F.broadcast(thresholds(c, q))  # at most a row per encoding and band
-    passed = c.join(limits, ["encoding", "band"]).filter("bin >= threshold")
-    passed = passed.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+    strings = c.select("said").distinct().withColumn("decoy", F.lit(False)).unionByName(decoys(docs).withColumn("decoy", F.lit(True)))
+    tested = save(_stratified(randomness(strings)).select(F.when(~F.col("decoy"), F.col("said")).alias("said"), "decoy", "encoding", "band", "bin"), "secret-tests")
+    limits = F.broadcast(thresholds(tested, q))  # at most a row per encoding and band
+    passed = tested.filter("not decoy").join(limits, ["encoding", "band"]).filter("bin >= threshold").select("said")
+    passed = c.join(passed, "said").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     s = scanned.alias("s").join(passed.alias("p"), F.expr("s.doc_id <=> p.doc_id and s.text_hash = p.text_hash"), "left")
     base = F.expr("transform(s.base, x -> struct(x.start as start, x.kind as kind, x.end as end))")
     return s.select("s.doc_id", base.alias("base"), F.array_sort(F.concat(base, F.coalesce("p.more", F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")))).alias("found"))

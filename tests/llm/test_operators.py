@@ -3,6 +3,7 @@
 import hashlib
 import html
 import itertools
+import math
 import random
 import re
 import zlib
@@ -164,16 +165,73 @@ def test_secrets(spark, documents):
     rnd = random.Random(3)
     parts = ["token", "password", "API_KEY", "apikey", "Secret", ":", "=", "'", '"', " ", "AKIA", "ABCDEFGH1234", "abcdef0123456789", "x", "🙂", "\n", "é", "token=token:secret99", "", "ſecret=abcdefgh"]
     texts = {10_000 + i: "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for i in range(500)} | {i: r.text for i, r in documents.items()}
-    random_ones = {20_000 + i: "see " + "".join(rnd.choice(secret_scan._ALPHABETS["base64"]) for _ in range(40)) + " here" for i in range(200)}
-    prose = {30_000 + i: "antidisestablishmentarianism_is_long and supercalifragilisticexpialidocious" for i in range(200)}
-    frame = spark.createDataFrame([*(texts | random_ones | prose).items()], "doc_id long, text string")
+    frame = spark.createDataFrame([*texts.items()], "doc_id long, text string")
     got = {r.doc_id: r for r in secret_scan.secrets_digest(frame).collect()}
     for i, t in texts.items():
         base = plain_secrets(t)
         said = ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in base)
         assert got[i].base_sha256 == hashlib.sha256(said.encode()).hexdigest(), t
         assert [x for x in got[i].spans.split(",") if x and not x.startswith("random")] == [x for x in said.split(",") if x]
-    assert sum(got[i].n_random for i in random_ones) > 150 and not sum(got[i].n_random for i in prose)
+
+
+def plain_battery(said):
+    """The four tests of one string, from their definitions."""
+    code = said.rstrip("=")
+    kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", code) else "base32" if re.fullmatch("[A-Z2-7]+", code) else "base64"
+    alphabet = secret_scan._ALPHABETS[kind]
+    code = code.lower() if kind == "hex" else code.translate(str.maketrans("-_=", "+/+")) if kind == "base64" else code
+    v, n, size = [alphabet.index(x) for x in code], len(code), len(alphabet)
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi_tail = lambda x, f: tail(((x / f) ** (1 / 3) - (1 - 2 / (9 * f))) / math.sqrt(2 / (9 * f)))
+    chi_kinds = kinds = 0
+    for test in (str.isupper, str.islower, str.isdigit, lambda x: not x.isalnum()):
+        expected = n * sum(map(test, alphabet)) / size
+        if expected:
+            kinds, chi_kinds = kinds + 1, chi_kinds + (sum(map(test, code)) - expected) ** 2 / expected
+    chi = sum((v.count(x) - n / size) ** 2 / (n / size) for x in range(size))
+    high = [2 * x >= size for x in v]
+    n1, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mu = 2 * n1 * (n - n1) / n + 1
+    spread = (mu - 1) * (mu - 2) / (n - 1)
+    mean = sum(v) / n
+    lagged, squares = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])), sum((a - mean) ** 2 for a in v)
+    normal = lambda z: 2 * tail(abs(z))
+    ps = [chi_tail(chi_kinds, kinds - 1), chi_tail(max(0, chi * n / (n - 1)), (size - 1) * n / (n - 1)), normal((runs - mu) / math.sqrt(spread)) if spread else 0, normal((lagged / squares + 1 / n) * math.sqrt(n)) if squares else 0]
+    return kind, min(1, 4 * min(ps))
+
+
+def test_battery_against_plain_tests(spark):
+    rnd = random.Random(5)
+    said = ["".join(rnd.choice(a) for _ in range(rnd.randint(20, 160))) for a in secret_scan._ALPHABETS.values() for _ in range(60)]
+    said += ["the_quick_brown_fox_jumps_over_the_lazy_dog", "a" * 30, "AB" * 15, "usr/local/lib/python3/site-packages", "abc123" * 6 + "=="]
+    for r in secret_scan.randomness(spark.createDataFrame([(x,) for x in said], "said string")).collect():
+        kind, p = plain_battery(r.said)
+        assert r.encoding == kind and abs(r.p - p) < 1e-5, r
+
+
+def test_random_secrets_among_names(spark):
+    """Planted secrets of 20 to 160 characters in each encoding, among paths, identifiers, ids and long words."""
+    rnd = random.Random(7)
+    documents = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    words = sorted({w for r in documents.values() for w in re.findall("[a-z]+", r.text)})
+    name = lambda: rnd.choice(["_", "/", "-", ""]).join(rnd.choice(words).capitalize() if rnd.random() < 0.5 else rnd.choice(words) for _ in range(rnd.randint(4, 20)))
+    uuid = lambda: "-".join("".join(rnd.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12))
+    secrets = {k: "".join(rnd.choice(a) for _ in range(rnd.choice((20, 26, 32, 40, 64, 86, 120, 160)))) for k, a in enumerate([*secret_scan._ALPHABETS.values()][1:] * 150)}
+    names = {1_000 + k: name() if k % 3 else uuid() if k % 2 else f"{rnd.choice(words)}_{rnd.choice(words)}_2024{rnd.randint(100000, 999999)}_v{k}" for k in range(600)}
+    given = [(10_000 + k, f"see {x} here") for k, x in (secrets | names).items()] + [(i, r.text) for i, r in documents.items()]
+    got = {r.doc_id - 10_000: r.n_random for r in secret_scan.secrets_digest(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    hits, false = sum(got[k] > 0 for k in secrets), sum(got[k] for k in names)
+    assert hits > 0.9 * len(secrets) and false <= 0.05 * (hits + false) and not sum(n for k, n in got.items() if k < 0), (hits, false)
+
+
+def test_control_refuses_without_evidence(spark, documents):
+    """One random string among many names of its length does not stand out enough, nor any without decoys."""
+    rnd = random.Random(9)
+    alone = ("".join(rnd.choice(secret_scan._ALPHABETS["base64"]) for _ in range(40)) for _ in range(2))
+    few = spark.createDataFrame([(1, f"see {next(alone)} here")], "doc_id long, text string")
+    assert [r.n_random for r in secret_scan.secrets_digest(few).collect()] == [0]
+    many = [(i, f"see {'_'.join(rnd.choice(['alpha', 'beta', 'gamma', 'delta']) + str(i) for _ in range(5))} here") for i in range(3_000)]
+    assert sum(r.n_random for r in secret_scan.secrets_digest(spark.createDataFrame([*many, (-1, f"see {next(alone)} here")], "doc_id long, text string")).collect()) == 0
 
 
 PAGE = """<html><head><title>T</title><script>var a = "</p>";</script></head><body><header><h1>Site</h1><ul class="menu"><li><a href=/>Home</a><li><a href=/x>More</a></ul></header>
