@@ -55,3 +55,8 @@ def words_of(text: Column) -> Column:
 def n_words_of(text: Column) -> Column:
     """The number of words, without building an array of them for the caller."""
     return F.size(words_of(text)).cast("long")
+
+
+def as_row(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that columns computed beside it can't clash with any; ``row.*`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import save, text_of, words_of
+from strandlog.llm.common import as_row, save, text_of, words_of
 
 MIN_WORDS = 50
 _DOC = ["doc_id", "text_hash"]
@@ -109,6 +109,17 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return islands.groupBy(*_DOC, "island").agg(F.min("line").alias("first"), F.max("line").alias("last")).drop("island")
 
 
+def _cut(docs: DataFrame, min_words: int) -> DataFrame:
+    """row (a struct of the columns of docs), runs (array of the first and last lines cut) and left (the text less these)."""
+    runs = repeated_runs(docs, min_words)
+    runs = runs.groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    d = docs.select(as_row(docs), "doc_id", F.xxhash64(text_of()).alias("text_hash")).alias("d")
+    d = d.join(runs.alias("r"), F.expr("d.doc_id <=> r.doc_id and d.text_hash = r.text_hash"), "left")
+    cut = F.array_join(F.expr(r"filter(split(row.text, '\n'), (x, i) -> not exists(r.runs, y -> i between y.first and y.last))"), "\n")
+    none = F.expr("cast(array() as array<struct<first: int, last: int>>)")
+    return d.select("row", F.coalesce("r.runs", none).alias("runs"), F.when(F.col("r.runs").isNull(), F.col("row.text")).otherwise(cut).alias("left"))
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, runs_as: str = "runs") -> DataFrame:
     """docs with the later copies of repeated runs cut out of text, and an array of the (first, last) lines cut as ``runs_as``.
 
@@ -116,14 +127,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, runs_as: str = "run
     within a run. Earlier means smaller doc_id (null first), then smaller text hash, then line. Rows with equal doc_id
     and text count as one document and get equal results. A null text stays null.
     """
-    runs = repeated_runs(docs, min_words)
-    runs = runs.groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_runs"))
-    d = docs.withColumn("__hash", F.xxhash64(text_of())).alias("d")
-    d = d.join(runs.alias("r"), F.expr("d.doc_id <=> r.doc_id and d.__hash = r.text_hash"), "left")
-    cut = F.array_join(F.expr(r"filter(split(d.text, '\n'), (x, i) -> not exists(r._runs, y -> i between y.first and y.last))"), "\n")
-    text = F.when(F.col("r._runs").isNull(), F.col("d.text")).otherwise(cut).alias("text")
-    none = F.expr("cast(array() as array<struct<first: int, last: int>>)")
-    return d.select(*[text if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], F.coalesce("r._runs", none).alias(runs_as))
+    d = _cut(docs, min_words)
+    return d.select(*[F.col("left").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], F.col("runs").alias(runs_as))
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
@@ -135,9 +140,8 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """docs with the copies cut out, n_chars anew, less the rows that nothing is left of; same columns."""
-    d = dedup_lines(docs, runs_as="__runs")
-    d = d.filter((F.size("__runs") == 0) | (F.btrim("text", F.lit(_BLANKS)) != ""))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.size("__runs") == 0, F.col("n_chars")).otherwise(F.length("text")))
-    return d.select(*docs.columns)
+    """docs with the copies cut out, n_chars anew, less the rows that nothing is left of; same columns, whatever these are
+    called. Rows that nothing was cut from stay as they are, null and empty texts too."""
+    d = _cut(docs, MIN_WORDS).filter((F.size("runs") == 0) | (F.btrim("left", F.lit(_BLANKS)) != ""))
+    anew = {"text": F.col("left"), "n_chars": F.when(F.size("runs") == 0, F.col("row.n_chars")).otherwise(F.length("left"))} if "n_chars" in docs.columns else {"text": F.col("left")}
+    return d.select(*[anew[c].alias(c) if c in anew else F.col(f"row.`{c}`") for c in docs.columns])

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import n_words_of, save, text_of
+from strandlog.llm.common import as_row, n_words_of, save, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -95,17 +95,16 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, repeated as often as they are taken, with the columns they came with.
-
-    Rows that share doc_id, source and size are taken as often as one of them, chosen by a hash of the text.
+    """The documents of the mix, repeated as often as they are taken, with the columns they came with, whatever these are
+    called. Documents without a source are one source, those without words or of an empty source are not taken; a null
+    doc_id is an id like others. Rows that share doc_id, source and size are taken as often as one of them, chosen by a hash of the text.
     """
     sized = docs.select("doc_id", "source", n_words_of(text_of()).alias("size"))
     n = copies_per_document(sized).groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
-    rows = docs.withColumn("__size", n_words_of(text_of())).alias("d")
-    rows = rows.join(n.alias("n"), F.expr("d.doc_id <=> n.doc_id and d.source <=> n.source and d.__size = n.size"))
-    taken = F.expr("_copies[pmod(xxhash64(d.text), size(_copies))]").cast("int")
-    rows = rows.withColumn("__taken", taken).filter("__taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__taken"))))
-    return rows.select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    rows = docs.select(as_row(docs), "doc_id", "source", n_words_of(text_of()).alias("size"), F.xxhash64("text").alias("text_hash")).alias("d")
+    rows = rows.join(n.alias("n"), F.expr("d.doc_id <=> n.doc_id and d.source <=> n.source and d.size = n.size"))
+    taken = F.expr("_copies[pmod(text_hash, size(_copies))]").cast("int")
+    return rows.select("row", taken.alias("taken")).filter("taken > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("taken")))).select("row.*")
 
 
 SQL = r"""

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import save
+from strandlog.llm.common import as_row, save
 from strandlog.llm.links import components
 from strandlog.llm.shingles import shingle_sets
 
@@ -408,14 +408,17 @@ def _cross_links(near: DataFrame, members: DataFrame, sets: DataFrame, tasks: in
 
 
 def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs (doc_id, text_hash, n_shingles, digest) and the classes of equal sets (digest, node, doc_id,
-    text_hash, component: the least node that links reach)."""
+    """The rows of docs (doc_id, text_hash, n_shingles, digest) and the classes of equal sets (digest, node, least_id of
+    its rows, component: the least node that links reach)."""
     num, den = percent, 100
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
     counts = _shared_counts(docs, k)
-    classes = counts.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("n_shingles").alias("n"), F.max("n_shared").alias("n_shared"))
+    classes = counts.filter("n_shingles > 0").groupBy("digest").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("n_shingles").alias("n"), F.max("n_shared").alias("n_shared"),
+        F.min(F.nullif("doc_id", F.lit(NO_ID))).alias("least_id"),
+    )
     # numbers depend on how rows were partitioned, so they are saved at once
-    classes = save(classes.select("digest", "at.*", "n", "n_shared", F.monotonically_increasing_id().alias("node")), "ngram-classes")
+    classes = save(classes.select("digest", "at.*", "n", "n_shared", "least_id", F.monotonically_increasing_id().alias("node")), "ngram-classes")
     sets = _ordered_sets(docs, classes.filter(F.col("n_shared") * den >= F.col("n") * num), k, num, den)
 
     groups = sets.groupBy("n", "alone", "prefix").agg(F.min("node").alias("leader"))
@@ -453,7 +456,7 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     wanted = placed.join(near.select("leader").distinct(), "leader", "left_semi").join(order, "leader").select("leader", "node", "component", "n", "prefix", "order")
     links = links.union(_cross_links(near, wanted, sets, tasks, num, den))
     joined = components(links).withColumnRenamed("node", "of")
-    classes = classes.join(joined, F.col("node") == F.col("of"), "left").select("digest", "node", "doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
+    classes = classes.join(joined, F.col("node") == F.col("of"), "left").select("digest", "node", "least_id", F.coalesce("component", "node").alias("component"))
     return counts.select("doc_id", "text_hash", "n_shingles", "digest"), classes
 
 
@@ -467,7 +470,7 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     results. Other columns are ignored; an empty table gives an empty one.
     """
     rows, classes = _classes(docs, k, percent)
-    least = classes.groupBy("component").agg(F.min(F.nullif("doc_id", F.lit(NO_ID))).alias("component_id"))
+    least = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_class = classes.join(least, "component").select("digest", "component_id", F.lit(True).alias("found"))
     out = rows.join(of_class, "digest", "left")
     own = F.nullif("doc_id", F.lit(NO_ID))
@@ -484,9 +487,8 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     key = F.struct((F.col("doc_id") == NO_ID).alias("last"), "doc_id", "text_hash", "copies")
     kept = found.filter("component is not null").groupBy("component").agg(F.min(key).alias("key")).select("key.*")
     kept = kept.unionByName(found.filter("component is null").select((F.col("doc_id") == NO_ID).alias("last"), "doc_id", "text_hash", "copies"))
-    kept = save(kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__of"), F.col("copies").alias("__copies")), "ngram-kept")
-    given = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__text", F.xxhash64("text"))
-    stays = given.join(kept, (F.col("__doc") == F.col("__id")) & (F.col("__text") == F.col("__of")))
-    once = stays.filter("__copies = 1").select(docs.columns)
-    again = stays.filter("__copies > 1").groupBy("__id", "__of").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    return once.unionByName(again)
+    kept = save(kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), "copies"), "ngram-kept")
+    given = docs.select(as_row(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("hash"))
+    stays = given.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")))
+    once = stays.filter("copies = 1").select("row.*")
+    return once.unionByName(stays.filter("copies > 1").groupBy("id", "hash").agg(F.min("row").alias("row")).select("row.*"))

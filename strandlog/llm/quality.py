@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import save, text_of, words_of
+from strandlog.llm.common import as_row, save, text_of, words_of
 
 MIN_WORDS = 60
 TOP_WORDS = 32
@@ -136,10 +136,11 @@ def quality_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with the columns they came with."""
+    """The rows of docs that pass, with the columns they came with, whatever these are called; equal rows all stay or all go."""
     kept = quality(docs).filter("kept").select("doc_id", "text_hash", "lang").distinct()
-    on = F.expr("d.doc_id <=> k.doc_id and d.__hash = k.text_hash and cast(d.lang as string) <=> k.lang")
-    return docs.withColumn("__hash", F.xxhash64(text_of())).alias("d").join(kept.alias("k"), on, "left_semi").drop("__hash")
+    given = docs.select(as_row(docs), "doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64(text_of()).alias("text_hash"))
+    on = F.expr("d.doc_id <=> k.doc_id and d.text_hash = k.text_hash and d.lang <=> k.lang")
+    return given.alias("d").join(kept.alias("k"), on, "left_semi").select("row.*")
 
 
 def _sql_bin(p: str, q: str) -> str:

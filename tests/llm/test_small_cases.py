@@ -11,7 +11,7 @@ DOCS = [
     (4, LONG, "en", "a", 0), (5, " \t\n\x0b\x0c\r ", "en", "b", 0), (6, "token = abcdef123456 🙂", None, "b", 0), (7, LONG, "de", "c", 0), (1, "another text with the same id", "en", "a", 0),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = ("size", "copies", "n", "words", "runs", "ref", "kept", "digest", "_hash", "component", "d", "text_hash")
+EXTRA = ("size", "copies", "n", "words", "runs", "ref", "kept", "digest", "_hash", "component", "d", "text_hash", "__hash", "__size", "__taken", "__runs", "row", "left", "id", "hash", "k")
 
 OPERATORS = {
     "line_dedup": line_dedup.dedup_digest, "ngram_join": lambda d: ngram_join.jaccard_components(d, 3, 90), "secrets": secret_scan.secrets_digest, "packing": packing.pack,
@@ -44,8 +44,27 @@ def test_empty_table(spark, name):
 
 
 def test_rows_that_stay_keep_their_columns(docs):
+    wide = docs
+    for c in EXTRA:
+        wide = wide.withColumn(c, wide["doc_id"] + 1)
     for stage in (quality.keep_good, line_dedup.without_copies, ngram_join.keep_first, mixing.mix):
         assert stage(docs).columns == docs.columns
+        assert all(r[c] == (None if r.doc_id is None else r.doc_id + 1) for r in stage(wide).collect() for c in EXTRA)
+
+
+def test_one_row_of_each_component_stays(docs):
+    """Of equal rows one, of near ones that of least id, null last; rows without words are linked with nothing."""
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_first(docs).collect()), key=str)
+    texts = {(i, t) for i, t, *_ in DOCS if i != 7}
+    assert kept == sorted(texts, key=str)
+
+
+def test_rows_that_share_an_id_are_matched_for_themselves(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = lambda k: " ".join(w if i != 7 * k else f"x{k}" for i, w in enumerate(base))
+    rows = [(5, near(1)), (5, "nothing like it"), (5, "something else again, of other words"), (None, near(2)), (None, "nothing like it"), (3, near(3)), (9, "")]
+    got = [(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()]
+    assert sorted(got, key=str) == sorted([(5, 3), (5, 5), (5, 5), (None, 3), (None, 5), (3, 3), (9, 9)], key=str)
 
 
 def test_equal_rows_get_equal_results(docs):
