@@ -44,9 +44,9 @@ def _ref(lang: str = "lang") -> Column:
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, ref, a hash of the text, the base counts and the character classes of every row."""
-    less = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
+    less = lambda pattern: F.length("special") - F.length(F.regexp_replace("special", pattern, ""))
     d = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text")).withColumn("ref", _ref())
-    d = d.withColumn("words", _split_words("text"))
+    d = d.withColumn("words", _split_words("text")).withColumn("special", F.regexp_replace("text", r"""[^A-Z0-9#*$%&|<>.,;:!?'"()-]+""", ""))
     d = d.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0))
     d = d.select(
         "doc_id", "lang", "ref", "words", F.xxhash64("text").alias("text_hash"),
@@ -59,16 +59,20 @@ def base_counts(docs: DataFrame) -> DataFrame:
         less("[0-9]+").cast("long").alias("n_digits"),
         less(r"""[.,;:!?'"()-]+""").cast("long").alias("n_points"),
         (F.octet_length("text") - F.length("text")).cast("long").alias("n_extra_bytes"),
-        F.expr("case when size(words) < 3 then array() else transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])) end").alias("windows"),
+        F.expr(
+            "case when size(words) < 3 then array() else slice(zip_with(zip_with(words, slice(words, 2, size(words)), (a, b) -> xxhash64(a, b)), "
+            "slice(words, 3, size(words)), (a, b) -> xxhash64(a, b)), 1, size(words) - 2) end"
+        ).alias("windows"),
     )
-    # windows that differ in their hashes differ; only texts with an equal pair are looked at word by word
-    d = d.withColumn("repeats", F.size(F.array_distinct("windows")) < F.size("windows"))
-    d = d.withColumn("placed", F.expr("case when repeats then array_sort(transform(sequence(0, size(words) - 3), i -> struct(concat_ws(' ', words[i], words[i + 1], words[i + 2]) as w, i as i))) end"))
-    twice = "filter(sequence(0, size(placed) - 1), k -> placed[k].w = get(placed, k - 1).w or placed[k].w = get(placed, k + 1).w)"
-    d = d.withColumn("n_repeat_words", F.expr(f"case when repeats then size(array_distinct(flatten(transform({twice}, k -> sequence(placed[k].i, placed[k].i + 2))))) else 0 end").cast("long"))
+    # windows that differ in their hashes differ; only those with an equal hash in the text are looked at word by word
+    same = lambda what, by: f"filter(sequence(0, size({what}) - 1), k -> {what}[k].{by} = get({what}, k - 1).{by} or {what}[k].{by} = get({what}, k + 1).{by})"
+    d = d.withColumn("hashed", F.expr("case when size(array_distinct(windows)) < size(windows) then sort_array(transform(windows, (h, i) -> struct(h as h, i as i))) end"))
+    d = d.withColumn("placed", F.expr(f"sort_array(transform(transform({same('hashed', 'h')}, k -> hashed[k].i), i -> struct(concat_ws(' ', words[i], words[i + 1], words[i + 2]) as w, i as i)))"))
+    repeated = f"size(array_distinct(flatten(transform({same('placed', 'w')}, k -> sequence(placed[k].i, placed[k].i + 2)))))"
+    d = d.withColumn("n_repeat_words", F.expr(f"case when size(placed) > 0 then {repeated} else 0 end").cast("long"))
     d = d.withColumn("n_spaces", F.col("n_chars") - F.col("word_chars"))
     d = d.withColumn("n_rest", F.col("word_chars") - F.col("n_upper") - F.col("n_digits") - F.col("n_symbols") - F.col("n_points"))
-    return d.drop("words", "windows", "repeats", "placed")
+    return d.drop("words", "windows", "hashed", "placed")
 
 
 def _half(p: str, q: str) -> str:
@@ -104,12 +108,12 @@ def quality(docs: DataFrame, min_words: int = MIN_WORDS, top_words: int = TOP_WO
     ids = common.select(F.xxhash64("ref", "word").alias("word_hash"), F.col("ref").alias("word_ref"), "rank")
     seen = said.withColumn("word_hash", F.xxhash64("ref", "word")).join(ids, "word_hash")
     seen = seen.groupBy("doc_id", "text_hash", "word_ref", "rank").agg(F.count("*").alias("n"))
-    seen = seen.groupBy("doc_id", "text_hash", F.col("word_ref").alias("ref")).agg(F.array_sort(F.collect_list(F.struct("rank", "n"))).alias("seen"), F.sum("n").alias("hits"))
+    seen = seen.groupBy("doc_id", "text_hash", F.col("word_ref").alias("ref")).agg(F.sort_array(F.collect_list(F.struct("rank", "n"))).alias("seen"), F.sum("n").alias("hits"))
     # equal rows were counted together
     copies = base.groupBy("doc_id", "text_hash", "ref").agg(F.count("*").alias("copies"))
     seen = copies.alias("c").join(seen.alias("s"), F.expr("c.doc_id <=> s.doc_id and c.text_hash = s.text_hash and c.ref = s.ref"))
     seen = seen.select("c.*", "s.seen", "s.hits")
-    refs = classes.join(common.groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("rank", "q"))).alias("common")), "ref", "left")
+    refs = classes.join(common.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("rank", "q"))).alias("common")), "ref", "left")
     refs = save(refs.withColumn("q", F.expr("transform(coalesce(common, array()), x -> x.q)")).withColumn("q_sum", F.expr("aggregate(q, 0D, (a, x) -> a + x)")).drop("common"), "quality-refs")
 
     d = base.alias("b").join(seen.alias("s"), F.expr("b.doc_id <=> s.doc_id and b.text_hash = s.text_hash and b.ref = s.ref"), "left")
