@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.functions.lineage import cut
+from strandlog.functions.written import cut
 from strandlog.operators.holdings import beliefs_held
 
 MAX_DEPTH = 256

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlog.functions.lineage import cut
+from strandlog.functions.written import cut
 
 MAX_HOPS = 12
 MIN_FANOUT = 2
@@ -235,9 +235,10 @@ def stack_witness(edges: DataFrame) -> DataFrame:
     return d.select("txn_id", "src", "dst", outcome.alias("outcome"), F.when(open_end, F.col("dst")).alias("boundary"), "ids")
 
 
-def interrogate(edges: DataFrame) -> DataFrame:
-    """txn_id, src, dst, typology, flag_capable, outcome, kind, ids, boundary: all four witnesses of every edge."""
-    cycles = cut(cycle_witness(edges), "cycles")
+def interrogate(edges: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
+    """txn_id, src, dst, typology, flag_capable, outcome, kind, ids, boundary: all four witnesses of every edge. ``cycles``
+    are the edges' cycle witnesses if they are known already."""
+    cycles = cut(cycle_witness(edges), "cycles") if cycles is None else cycles
     found = cycles.join(cycle_path(edges, cycles), "txn_id", "left").select("txn_id", "src", "dst", F.lit("CYCLE").alias("typology"), "outcome", "boundary", "ids", "is_simple")
     for typology, witness in (("GATHER-SCATTER", gather_scatter_witness), ("SCATTER-GATHER", scatter_gather_witness), ("STACK", stack_witness)):
         more = witness(edges).select("txn_id", "src", "dst", F.lit(typology).alias("typology"), "outcome", "boundary", "ids", F.lit(None).cast("boolean").alias("is_simple"))
@@ -347,7 +348,7 @@ def select_disjoint(touched: DataFrame, per_typology: int, min_accounts: int = 4
         chosen.append(best.select(F.lit(typology).alias("typology"), "instance"))
         more = mine.join(best, "instance", "left_semi").select("account").distinct()
         used = more if used is None else used.union(more)
-    out = chosen[0]
-    for more in chosen[1:]:
+    out = touched.select("typology", "instance").limit(0)
+    for more in chosen:
         out = out.union(more)
     return out

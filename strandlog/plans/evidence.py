@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.functions import ids as I
-from strandlog.functions.lineage import shared_dir
+from strandlog.functions.written import shared_dir
 from strandlog.operators import citations as C
 from strandlog.operators import claims as E
 from strandlog.operators import graph as G
@@ -83,12 +83,14 @@ def _(v: Views) -> DataFrame:
     return X.verbatim_coverage(v.table("benchmark").select(F.col("item_id").alias("fragment"), "text"), v.table("documents").select(F.col("doc_id").alias("source"), "text"))
 
 
+#: Searches ask with every fiftieth vector, against all.
+ASKED = "vec_id % 50 = 0"
 COS = "list_cosine_distance(q.embedding::double[], x.embedding::double[])"
-NEAR = f", near as (select q.vec_id as query_id, x.vec_id, {COS} as d, row_number() over (partition by q.vec_id order by {COS}, x.vec_id) as r from v_vectors q, v_vectors x where q.vec_id < 10)\n"
+NEAR = f", near as (select q.vec_id as query_id, x.vec_id, {COS} as d, row_number() over (partition by q.vec_id order by {COS}, x.vec_id) as r from v_vectors q, v_vectors x where q.vec_id % 50 = 0)\n"
 
 
 def top(v: Views, k: int = 5, **options) -> DataFrame:
-    return N.topk_cosine(v.vectors.filter("vec_id < 10"), v.vectors, k, **options)
+    return N.topk_in_blocks(v.vectors.filter(ASKED), v.vectors, k, **options)
 
 
 @query("topk_cosine", NEAR + "select query_id, vec_id, round(d, 6) as distance from near where r <= 5")
@@ -96,17 +98,17 @@ def _(v: Views) -> DataFrame:
     return top(v).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("retrieve_typology", f"select query_id, vec_id from (select q.vec_id as query_id, x.vec_id, row_number() over (partition by q.vec_id order by {COS}, x.vec_id) as r from v_vectors q join v_vectors x using (source) where q.vec_id < 10) where r <= 3")
+@query("retrieve_typology", f"select query_id, vec_id from (select q.vec_id as query_id, x.vec_id, row_number() over (partition by q.vec_id order by {COS}, x.vec_id) as r from v_vectors q join v_vectors x using (source) where q.vec_id % 50 = 0) where r <= 3")
 def _(v: Views) -> DataFrame:
     return top(v, 3, same_source=True).select("query_id", "vec_id")
 
 
-@query("retrieve_beliefs", HELD + f""", vb as (select vec_id as belief_id, embedding from v_vectors where vec_id < 25)
+@query("retrieve_beliefs", HELD + f""", vb as (select vec_id as belief_id, embedding from v_vectors)
 select agent_id, belief_id from (select h.agent_id, x.belief_id, row_number() over (partition by h.agent_id order by {COS}, x.belief_id) as r from held h join v_beliefs b using (belief_id) join vb x using (belief_id) join v_vectors q on q.vec_id = h.agent_id
-  where b.status = 'active' and h.agent_id < 200) where r <= 3""")
+  where b.status = 'active') where r <= 3""")
 def _(v: Views) -> DataFrame:
-    held = H.beliefs_held(v.beliefs, v.inheritance, active_only=True).filter("agent_id < 200").select("agent_id", "belief_id")
-    known = N.with_norm(v.vectors.filter("vec_id < 25")).select(F.col("vec_id").alias("belief_id"), "embedding", "norm")
+    held = H.beliefs_held(v.beliefs, v.inheritance, active_only=True).select("agent_id", "belief_id")
+    known = N.with_norm(v.vectors).select(F.col("vec_id").alias("belief_id"), "embedding", "norm")
     asks = N.with_norm(v.vectors).select(F.col("vec_id").alias("agent_id"), F.col("embedding").alias("_q"), F.col("norm").alias("_qn"))
     d = held.join(known, "belief_id").join(asks, "agent_id").withColumn("distance", 1 - N.dot("_q", "embedding") / (F.col("norm") * F.col("_qn")))
     from pyspark.sql import Window
@@ -115,9 +117,6 @@ def _(v: Views) -> DataFrame:
     return d.withColumn("r", F.row_number().over(order)).filter("r <= 3").select("agent_id", "belief_id")
 
 
-ASKED = "vec_id % 50 = 0"
-
-
 @query("retrieve_indexed")
 def _(v: Views) -> DataFrame:
     return N.topk_indexed(v.vectors.filter(ASKED), v.vectors, 5).select("query_id", "vec_id", "distance", "rank")
@@ -128,9 +127,9 @@ def _(v: Views) -> DataFrame:
     return N.recall(N.topk_indexed(v.vectors.filter(ASKED), v.vectors, 5), N.topk_in_blocks(v.vectors.filter(ASKED), v.vectors, 5))
 
 
-@query("self_retrieval", "select vec_id, true as itself from v_vectors where vec_id < 200")
+@query("self_retrieval", "select vec_id, true as itself from v_vectors where vec_id % 50 = 0")
 def _(v: Views) -> DataFrame:
-    d = N.topk_cosine(v.vectors.filter("vec_id < 200"), v.vectors, 1)
+    d = top(v, 1)
     return d.select(F.col("query_id").alias("vec_id"), ((F.col("query_id") == F.col("vec_id")) & (F.abs("distance") < 1e-6)).alias("itself"))
 
 
@@ -168,7 +167,7 @@ def _(v: Views) -> DataFrame:
 ) select claim, cl.typology, case when hash_ok and spoilt is null then 'FLAG' else 'NO_FLAG' end as verdict, case when not hash_ok then 'TYPOLOGY_NOT_RETRIEVED' when spoilt is null then 'CORROBORATED' else 'UNFAITHFUL_CITATION' end as reason
 from (select *, length(claim) % 7 <> 0 as hash_ok from cl) cl""")
 def _(v: Views) -> DataFrame:
-    cycles = G.cycle_witness(v.edges)
+    cycles = v.cycles
     paths = G.cycle_path(v.edges, cycles)
     scatter = G.scatter_gather_witness(v.edges)
     claims = C.mutated_claims(paths, scatter.filter("outcome = 'MATCH'").select("txn_id", "ids")).filter("subject <> 'nobody'")
@@ -182,20 +181,19 @@ def _(v: Views) -> DataFrame:
 LINE = "right(e.txn_id, 6) || ': ' || right(e.src, 6) || ' -> ' || right(e.dst, 6) || ' ' || e.amount_cents || ' ' || e.format"
 
 
-@query("grounding_lines", FACTS + f""", subj as (select txn_id as subject, src, dst from v_edges where format = 'RF' and src <> dst), und as (select src as a, dst as b from pairs union select dst, src from pairs),
-around as (select subject, src as node, 0 as d from subj union select subject, dst, 0 from subj union select r.subject, u.b, r.d + 1 from around r join und u on u.a = r.node where r.d < 2),
+@query("grounding_lines", FACTS + f""", subj as (select txn_id as subject, src, dst from v_edges where left(txn_id, 9)::bigint % 50 = 0), und as (select src as a, dst as b from pairs union select dst, src from pairs),
+around as (select subject, src as node, 0 as d from subj union select subject, dst, 0 from subj union select r.subject, u.b, r.d + 1 from around r join und u on u.a = r.node where r.d < 6),
 depth as (select subject, node, min(d) as d from around group by 1, 2),
 inside as (select a.subject, {LINE} as line, row_number() over (partition by a.subject order by case when e.txn_id = a.subject then -1 else greatest(a.d, b.d) end, e.txn_id) as place from flow e join depth a on a.node = e.src join depth b on b.node = e.dst and b.subject = a.subject)
 select txn_id, cast(count(*) + 1 as int) as n_lines, 'out ' || any_value(src_out) || ' in ' || any_value(src_in) || chr(10) || string_agg(line, chr(10) order by place) as lines from facts join inside on subject = txn_id where place <= 120 group by 1""")
 def _(v: Views) -> DataFrame:
-    subjects = v.edges.filter("format = 'RF' and src <> dst").select("txn_id")
-    return E.grounding_lines(G.structure_facts(v.edges), G.neighbourhood(v.edges, subjects, hops=2), v.edges)
+    return E.grounding_lines(v.facts, G.neighbourhood(v.edges, v.asked_edges), v.edges)
 
 
 @query("render_witness_text", ALL + f""", ex as (select txn_id, typology, unnest(ids) as id, unnest(range(len(ids))) as i from wit where ids is not null), said as (select ex.txn_id, ex.typology, string_agg({LINE}, '; ' order by i) as text from ex join v_edges e on e.txn_id = ex.id group by 1, 2)
 select w.txn_id, w.typology, coalesce(text, 'no witness in these rows') as text from wit w left join said using (txn_id, typology)""")
 def _(v: Views) -> DataFrame:
-    return E.render_witness(G.interrogate(v.edges), v.edges)
+    return E.render_witness(v.witnesses, v.edges)
 
 
 @query("faithfulness_gate", """select event_id as claim_id, case when event_id % 13 = 0 then 'SUPPORTED' when event_id % 7 = 0 then 'UNAVAILABLE' when event_id % 10 >= 5 then 'SUPPORTED' else 'UNSUPPORTED' end as state, event_id % 13 = 0 or (event_id % 7 <> 0 and event_id % 10 >= 5) as passes from events""")
@@ -292,9 +290,9 @@ def _(v: Views) -> DataFrame:
 
 
 @query("retrieve_regulation", f"""select query_id, vec_id from (select q.vec_id as query_id, x.vec_id, row_number() over (partition by q.vec_id order by {COS}, x.vec_id) as r
-  from v_vectors q, v_vectors x where q.vec_id < 10 and x.source in (1, 2, 3) and x.vec_id % 10 <> 7) where r <= 4""")
+  from v_vectors q, v_vectors x where q.vec_id % 50 = 0 and x.source in (1, 2, 3) and x.vec_id % 10 <> 7) where r <= 4""")
 def _(v: Views) -> DataFrame:
     # a corpus of versions in which some chunks came after the instant that is asked about
     log = v.vectors.selectExpr("vec_id as key", "case when vec_id % 10 = 7 then timestamp'2024-06-01' else timestamp'2024-01-01' end as commit_ts", "1 as seq", "source", "embedding", "false as deleted")
     then = T.as_of(log, F.expr("timestamp'2024-03-01'")).select(F.col("key").alias("vec_id"), "source", "embedding")
-    return N.topk_cosine(v.vectors.filter("vec_id < 10"), then.filter("source in (1, 2, 3)"), 4).select("query_id", "vec_id")
+    return N.topk_in_blocks(v.vectors.filter(ASKED), then.filter("source in (1, 2, 3)"), 4).select("query_id", "vec_id")

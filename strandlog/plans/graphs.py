@@ -114,12 +114,12 @@ def _(v: Views) -> DataFrame:
 
 @query("cycle_witness", BFS + "select txn_id, outcome, cast(length as int) as length, boundary, budget_exhausted from cyc")
 def _(v: Views) -> DataFrame:
-    return G.cycle_witness(v.edges).select("txn_id", "outcome", "length", "boundary", "budget_exhausted")
+    return v.cycles.select("txn_id", "outcome", "length", "boundary", "budget_exhausted")
 
 
 @query("cycle_path", PATHS + "select txn_id, array_to_string(ids, ',') as ids from ring")
 def _(v: Views) -> DataFrame:
-    return G.cycle_path(v.edges, G.cycle_witness(v.edges)).select("txn_id", joined("ids").alias("ids"))
+    return G.cycle_path(v.edges, v.cycles).select("txn_id", joined("ids").alias("ids"))
 
 
 @query("scatter_gather_witness", PAIRS + SG + "select txn_id, outcome, boundary, array_to_string(ids, ',') as ids from sgw")
@@ -139,72 +139,72 @@ def _(v: Views) -> DataFrame:
 
 @query("interrogate", ALL + "select txn_id, typology, outcome, kind, boundary, array_to_string(ids, ',') as ids from wit")
 def _(v: Views) -> DataFrame:
-    return G.interrogate(v.edges).select("txn_id", "typology", "outcome", "kind", "boundary", joined("ids").alias("ids"))
+    return v.witnesses.select("txn_id", "typology", "outcome", "kind", "boundary", joined("ids").alias("ids"))
 
 
 @query("competing_witnesses", ALL + "select txn_id, array_to_string(list(typology order by typology) filter (outcome = 'MATCH'), ',') as competing from wit group by 1")
 def _(v: Views) -> DataFrame:
-    d = G.competing(G.interrogate(v.edges))
+    d = G.competing(v.witnesses)
     return d.select("txn_id", F.when(F.size("typologies") > 0, joined("typologies")).alias("competing"))
 
 
 @query("witness_census", BFS + """select outcome, count(*) as n, count(*) filter (label) as laundering, round(count(*) * 1.0 / (select count(*) from cyc), 6) as share
   from cyc join v_labels using (txn_id) group by 1""")
 def _(v: Views) -> DataFrame:
-    return D.outcome_census(G.cycle_witness(v.edges), v.labels)
+    return D.outcome_census(v.cycles, v.labels)
 
 
 @query("conclusive_no_split", BFS + "select case when src = dst then 'SELF_LOOP' when outcome = 'CONCLUSIVE_NO' then 'CLOSED_SEARCH' else outcome end as basis, count(*) as n from cyc group by 1")
 def _(v: Views) -> DataFrame:
-    return G.cycle_witness(v.edges).groupBy(G.basis().alias("basis")).agg(F.count("*").alias("n"))
+    return v.cycles.groupBy(G.basis().alias("basis")).agg(F.count("*").alias("n"))
 
 
 @query("basis_four_way", BFS + "select txn_id, case when src = dst then 'SELF_LOOP' when outcome = 'CONCLUSIVE_NO' then 'CLOSED_SEARCH' else outcome end as basis from cyc")
 def _(v: Views) -> DataFrame:
-    return G.cycle_witness(v.edges).select("txn_id", G.basis().alias("basis"))
+    return v.cycles.select("txn_id", G.basis().alias("basis"))
 
 
 @query("decide_all", BFS + "select txn_id, case when outcome = 'MATCH' then 'blocked' else 'approve' end as verdict, 'aml:' || outcome as tag from cyc")
 def _(v: Views) -> DataFrame:
-    d = G.cycle_witness(v.edges)
+    d = v.cycles
     return d.select("txn_id", D.verdict_for(F.col("outcome")).alias("verdict"), D.tag_for(F.col("outcome")).alias("tag"))
 
 
 @query("seam_disclosure", BFS + """select coalesce('aml:' || outcome, 'ALL') as tag, coalesce(case when outcome = 'MATCH' then 'blocked' else 'approve' end, 'ALL') as verdict, count(*) as n, count(*) filter (label) as frauds
   from cyc join v_labels using (txn_id) group by rollup ('aml:' || outcome, case when outcome = 'MATCH' then 'blocked' else 'approve' end)""".replace("coalesce('aml:' || outcome, 'ALL')", "coalesce(tag, 'ALL')").replace("coalesce(case when outcome = 'MATCH' then 'blocked' else 'approve' end, 'ALL')", "coalesce(verdict, 'ALL')").replace("from cyc join v_labels using (txn_id) group by rollup ('aml:' || outcome, case when outcome = 'MATCH' then 'blocked' else 'approve' end)", "from (select 'aml:' || outcome as tag, case when outcome = 'MATCH' then 'blocked' else 'approve' end as verdict, label from cyc join v_labels using (txn_id)) t group by rollup (tag, verdict)"))
 def _(v: Views) -> DataFrame:
-    d = G.cycle_witness(v.edges).join(v.labels, "txn_id")
+    d = v.cycles.join(v.labels, "txn_id")
     return D.seam_disclosure(d.select(D.tag_for(F.col("outcome")).alias("tag"), D.verdict_for(F.col("outcome")).alias("verdict"), "label"))
 
 
 @query("zero_witness_share", ALL + "select count(*) as edges, count(*) filter (k = 0) as without, round(count(*) filter (k = 0) * 1.0 / count(*), 6) as share from (select txn_id, count(*) filter (outcome = 'MATCH') as k from wit group by 1)")
 def _(v: Views) -> DataFrame:
-    d = G.interrogate(v.edges).groupBy("txn_id").agg(F.expr("count_if(outcome = 'MATCH')").alias("k"))
+    d = v.witnesses.groupBy("txn_id").agg(F.expr("count_if(outcome = 'MATCH')").alias("k"))
     return d.agg(F.count("*").alias("edges"), F.expr("count_if(k = 0)").alias("without"), F.expr("round(count_if(k = 0) / count(*), 6)").alias("share"))
 
 
 @query("witness_profile_category", ALL + """select txn_id, case when bool_or(outcome = 'MATCH' and typology = 'CYCLE') then 'CYCLE_WITNESS' when bool_or(outcome = 'MATCH' and typology = 'SCATTER-GATHER') then 'SG_WITNESS'
   when bool_or(outcome = 'MATCH') then 'GS_OR_STACK_WITNESS' else 'NO_WITNESS' end as category from wit group by 1""")
 def _(v: Views) -> DataFrame:
-    return D.profile_category(G.interrogate(v.edges))
+    return D.profile_category(v.witnesses)
 
 
 @query("witness_citation_flags", ALL + """, cited as (select w.txn_id, w.typology, unnest(w.ids) as cid from wit w where ids is not null)
 select c.txn_id, c.typology, count(*) > count(distinct (e.src, e.dst)) as repeats_pair, not bool_or(c.cid = c.txn_id) as omits_subject from cited c join v_edges e on e.txn_id = c.cid group by 1, 2""")
 def _(v: Views) -> DataFrame:
-    return D.citation_flags(G.interrogate(v.edges), v.edges)
+    return D.citation_flags(v.witnesses, v.edges)
 
 
 @query("quota_sample", BFS + "select category, txn_id from (select outcome as category, txn_id, row_number() over (partition by outcome order by txn_id) as r from cyc where src <> dst) where r <= 5")
 def _(v: Views) -> DataFrame:
-    d = G.cycle_witness(v.edges).filter("src <> dst").select(F.col("outcome").alias("category"), "txn_id")
+    d = v.cycles.filter("src <> dst").select(F.col("outcome").alias("category"), "txn_id")
     return D.quota_sample(d, "category", "txn_id", 5)
 
 
 @query("return_path_hops", BFS + """, back2 as (select e.src, e.dst, min(lv.lvl) + 2 as hops from pairs e join pairs p on p.dst = e.src join lv on lv.root = e.dst and lv.node = p.src and lv.lvl <= 11 group by 1, 2)
 select txn_id, cast(hops as int) as return_hops from v_edges e left join back2 b on b.src = e.src and b.dst = e.dst""")
 def _(v: Views) -> DataFrame:
-    return G.structure_facts(v.edges).select("txn_id", "return_hops")
+    return v.facts.select("txn_id", "return_hops")
 
 
 FACTS = BFS + """, back2 as (select e.src, e.dst, min(lv.lvl) + 2 as hops from pairs e join pairs p on p.dst = e.src join lv on lv.root = e.dst and lv.node = p.src and lv.lvl <= 11 group by 1, 2
@@ -219,16 +219,16 @@ FACTS = BFS + """, back2 as (select e.src, e.dst, min(lv.lvl) + 2 as hops from p
   case when return_hops is null then '; no return' else '; returns after ' || return_hops end || '; shared ' || best_shared as said from facts""")
 def _(v: Views) -> DataFrame:
     said = F.expr("concat('sends to ', src_out, ', receives from ', src_in, '; onward to ', dst_out, ', from ', dst_in, case when return_hops is null then '; no return' else concat('; returns after ', return_hops) end, '; shared ', best_shared)")
-    return G.structure_facts(v.edges).select("txn_id", "src_out", "src_in", "dst_out", "dst_in", "best_shared", "return_hops", said.alias("said"))
+    return v.facts.select("txn_id", "src_out", "src_in", "dst_out", "dst_in", "best_shared", "return_hops", said.alias("said"))
 
 
-@query("neighbourhood", PAIRS + """, subj as (select txn_id as subject, src, dst from v_edges where format = 'RF'), und as (select src as a, dst as b from pairs union select dst, src from pairs),
+@query("neighbourhood", PAIRS + """, subj as (select txn_id as subject, src, dst from v_edges where left(txn_id, 9)::bigint % 50 = 0), und as (select src as a, dst as b from pairs union select dst, src from pairs),
 around as (select subject, src as node, 0 as d from subj union select subject, dst, 0 from subj union select r.subject, u.b, r.d + 1 from around r join und u on u.a = r.node where r.d < 6),
 depth as (select subject, node, min(d) as d from around group by 1, 2),
 inside as (select a.subject, e.txn_id, case when e.txn_id = a.subject then -1 else greatest(a.d, b.d) end as k from flow e join depth a on a.node = e.src join depth b on b.node = e.dst and b.subject = a.subject)
 select subject, txn_id, cast(place as int) as place from (select subject, txn_id, row_number() over (partition by subject order by k, txn_id) as place from inside) where place <= 120""")
 def _(v: Views) -> DataFrame:
-    return G.neighbourhood(v.edges, v.edges.filter("format = 'RF'").select("txn_id"))
+    return G.neighbourhood(v.edges, v.asked_edges)
 
 
 COMP = """, mem as (select instance, src, dst from v_edges join v_labels using (txn_id) where label), und as (select instance, src as a, dst as b from mem union select instance, dst, src from mem),
@@ -299,7 +299,7 @@ from a left join ends using (claim)""")
 def _(v: Views) -> DataFrame:
     from strandlog.operators import citations as C
 
-    cycles = G.cycle_path(v.edges, G.cycle_witness(v.edges))
+    cycles = G.cycle_path(v.edges, v.cycles)
     scatter = G.scatter_gather_witness(v.edges).filter("outcome = 'MATCH'").select("txn_id", "ids")
     return C.verify(C.mutated_claims(cycles, scatter), v.edges).select("claim", "typology", "error")
 
@@ -308,7 +308,7 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     from strandlog.operators import citations as C
 
-    cycles = G.cycle_path(v.edges, G.cycle_witness(v.edges))
+    cycles = G.cycle_path(v.edges, v.cycles)
     shuffled = cycles.select(F.col("txn_id").alias("subject"), F.array_sort("ids").alias("ids"))
     ordered = C.ring_order(shuffled, v.edges)
     return ordered.select(F.col("subject").alias("txn_id"), joined("ids").alias("ids")).filter("ids is not null")
@@ -321,7 +321,7 @@ from asked a join r using (txn_id)""")
 def _(v: Views) -> DataFrame:
     from strandlog.operators import citations as C
 
-    w = G.interrogate(v.edges).filter("typology = 'CYCLE' and outcome = 'MATCH'").select("txn_id", "kind", "ids")
+    w = v.witnesses.filter("typology = 'CYCLE' and outcome = 'MATCH'").select("txn_id", "kind", "ids")
     asked = w.select("txn_id", F.explode(F.array("txn_id", F.col("ids")[1], F.lit("other"))).alias("id"))
     return C.predecessor(asked, w)
 

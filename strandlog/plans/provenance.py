@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.functions.lineage import shared_dir
+from strandlog.functions.written import shared_dir
 from strandlog.operators import certify as Z
 from strandlog.operators import closure as C
 from strandlog.operators import decisions as D

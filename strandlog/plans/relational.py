@@ -89,10 +89,10 @@ def _(v: Views) -> DataFrame:
 
 
 @query("txn_with_accounts", """select txn_id, a.c_name as src_name, b.c_name as dst_name, amount_cents from v_edges
-  join customer a on lpad(a.c_custkey::varchar, 8, '0') = src join customer b on lpad(b.c_custkey::varchar, 8, '0') = dst""")
+  join customer a on lpad(a.c_custkey::varchar, 8, '0') = left(src, 8) join customer b on lpad(b.c_custkey::varchar, 8, '0') = left(dst, 8)""")
 def _(v: Views) -> DataFrame:
     accounts = v.table("customer").select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("account"), F.col("c_name").alias("name"))
-    return D.with_accounts(v.edges, accounts).select("txn_id", "src_name", "dst_name", "amount_cents")
+    return D.with_accounts(v.edges.withColumns({c: F.substring(c, 1, 8) for c in ("src", "dst")}), accounts).select("txn_id", "src_name", "dst_name", "amount_cents")
 
 
 HELD = """, held as (
@@ -125,10 +125,10 @@ def _(v: Views) -> DataFrame:
     return H.governance_gate(v.decisions, v.beliefs, v.agents, v.inheritance).select("decision_id", "refusal")
 
 
-@query("resolve_ids", """, asked as (select unnest([txn_id, 'missing-' || src]) as id from v_edges where dst < '00000100')
+@query("resolve_ids", """, asked as (select unnest([txn_id, 'missing-' || src]) as id from v_edges where left(txn_id, 9)::bigint % 50 = 0)
 select distinct e.txn_id, e.src, e.dst from v_edges e join asked on id = txn_id""")
 def _(v: Views) -> DataFrame:
-    asked = v.edges.filter("dst < '00000100'").select(F.array("txn_id", F.concat(F.lit("missing-"), "src")).alias("ids"))
+    asked = v.edges.filter("cast(substr(txn_id, 1, 9) as bigint) % 50 = 0").select(F.array("txn_id", F.concat(F.lit("missing-"), "src")).alias("ids"))
     return D.resolve_ids(v.edges, asked, "txn_id").select("txn_id", "src", "dst")
 
 
@@ -150,9 +150,9 @@ def _(v: Views) -> DataFrame:
 
 
 @query("decision_reverse_lookup", """select transaction_id, decision_id, decided_at, row_number() over (partition by transaction_id order by decided_at desc, decision_id desc) as nth
-from v_decisions where transaction_id in (select substr(txn_id, 1, 9) from v_edges where format = 'RF')""")
+from v_decisions where transaction_id in (select substr(txn_id, 1, 9) from v_edges)""")
 def _(v: Views) -> DataFrame:
-    asked = v.edges.filter("format = 'RF'").select(F.substring("txn_id", 1, 9).alias("transaction_id"))
+    asked = v.edges.select(F.substring("txn_id", 1, 9).alias("transaction_id"))
     return D.reverse_lookup(v.decisions, asked).select("transaction_id", "decision_id", "decided_at", "nth")
 
 
@@ -168,11 +168,11 @@ def _(v: Views) -> DataFrame:
     return D.prior_agreement(v.decisions.filter(F.col("decided_at") >= cut), v.decisions.filter(F.col("decided_at") < cut), "agent_id")
 
 
-@query("bridge_retrieval_to_instances", """, retrieved as (select vec_id, case source % 3 when 0 then 'CYCLE' when 1 then 'SCATTER-GATHER' else 'FAN' end as typology from v_vectors where vec_id < 30),
+@query("bridge_retrieval_to_instances", """, retrieved as (select vec_id, case source % 3 when 0 then 'CYCLE' when 1 then 'SCATTER-GATHER' else 'FAN' end as typology from v_vectors),
 inst as (select typology, count(distinct instance) as instances from v_labels group by 1) select vec_id, typology, instances from retrieved join inst using (typology)""")
 def _(v: Views) -> DataFrame:
     typology = F.expr("case source % 3 when 0 then 'CYCLE' when 1 then 'SCATTER-GATHER' else 'FAN' end")
-    return D.bridge(v.vectors.filter("vec_id < 30").select("vec_id", typology.alias("typology")), v.labels)
+    return D.bridge(v.vectors.select("vec_id", typology.alias("typology")), v.labels)
 
 
 @query("investigate_decision", """select d.decision_id, a.status as decider_status, case when d.belief_id is null then 'none' when b.belief_id is null then 'missing' else 'resolved' end as driving,

@@ -10,6 +10,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlog.functions.written import kept
+from strandlog.operators import graph as G
+
+
+_TXN = "concat_ws('-', lpad(l_orderkey, 9, '0'), lpad(l_partkey, 7, '0'), lpad(l_suppkey, 6, '0'), l_linenumber, date_format(l_shipdate, 'yyyyMMdd'))"
+
 
 class Views:
     """The tables under a folder and the views over them, each planned when first asked for."""
@@ -22,28 +28,47 @@ class Views:
 
     @cached_property
     def edges(self) -> DataFrame:
-        """Money-flow edges (txn_id, src, dst, ts, amount_cents, format), without a label."""
-        n = self.table("customer").agg(F.count("*").alias("n_accounts"))  # one row
-        items = self.table("lineitem").filter("l_linenumber = 1 and l_orderkey % 4 = 0")
+        """Money-flow edges (txn_id, src, dst, ts, amount_cents, format), one for each line, without a label.
+
+        An account is a customer's at one of 31 banks. Lines go from the customer of the order to one of the 16 of the same
+        neighbourhood, so the accounts' degrees stay some 1.3 and structures grow in number with the table."""
         orders = self.table("orders").select("o_orderkey", "o_custkey")
-        d = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).crossJoin(F.broadcast(n))
-        return d.selectExpr(
-            "concat_ws('-', lpad(l_orderkey, 9, '0'), lpad(l_partkey, 7, '0'), lpad(l_suppkey, 6, '0'), l_linenumber, date_format(l_shipdate, 'yyyyMMdd')) as txn_id",
-            "lpad(o_custkey, 8, '0') as src", "lpad(l_partkey % n_accounts, 8, '0') as dst", "l_shipdate as ts",
+        return self.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+            f"{_TXN} as txn_id",
+            "concat(lpad(o_custkey, 8, '0'), '-', lpad((l_orderkey + 7 * l_linenumber) % 31, 2, '0')) as src",
+            "concat(lpad(o_custkey div 16 * 16 + l_partkey % 16, 8, '0'), '-', lpad((l_partkey div 16 + l_suppkey) % 31, 2, '0')) as dst", "l_shipdate as ts",
             "cast(round(l_extendedprice * 100) as bigint) as amount_cents", "concat(l_returnflag, l_linestatus) as format",
         )
 
+    @cached_property
+    def asked_edges(self) -> DataFrame:
+        """txn_id of the edges that searches about single edges ask for: those of every fiftieth order."""
+        return self.edges.filter("cast(substr(txn_id, 1, 9) as bigint) % 50 = 0").select("txn_id")
+
+    def _kept(self, name: str, build) -> DataFrame:
+        return kept(self.spark, name, [f"{self.sf_dir}/{t}.parquet" for t in ("lineitem", "orders")], build)
+
+    @property
+    def cycles(self) -> DataFrame:
+        """The cycle witness of every edge; searched for once, as many questions start from it."""
+        return self._kept("cycles", lambda: G.cycle_witness(self.edges))
+
+    @property
+    def witnesses(self) -> DataFrame:
+        """All four witnesses of every edge."""
+        return self._kept("witnesses", lambda: G.interrogate(self.edges, self.cycles))
+
+    @property
+    def facts(self) -> DataFrame:
+        return self._kept("facts", lambda: G.structure_facts(self.edges))
+
     @cached_property
     def labels(self) -> DataFrame:
-        """txn_id, label and group (the order's priority) of each edge; only scoring reads it."""
-        items = self.table("lineitem").filter("l_linenumber = 1 and l_orderkey % 4 = 0")
-        orders = self.table("orders").select("o_orderkey", "o_orderpriority")
-        d = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        return d.selectExpr(
-            "concat_ws('-', lpad(l_orderkey, 9, '0'), lpad(l_partkey, 7, '0'), lpad(l_suppkey, 6, '0'), l_linenumber, date_format(l_shipdate, 'yyyyMMdd')) as txn_id",
-            "l_returnflag = 'R' as label",
-            "case l_orderkey % 3 when 0 then 'CYCLE' when 1 then 'SCATTER-GATHER' else 'STACK' end as typology",
-            "cast(l_orderkey div 40 as bigint) as instance",
+        """txn_id, label, typology and instance of each edge; only scoring reads it."""
+        orders = self.table("orders").select("o_orderkey")
+        return self.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").selectExpr(
+            f"{_TXN} as txn_id", "l_returnflag = 'R' as label",
+            "case l_orderkey % 3 when 0 then 'CYCLE' when 1 then 'SCATTER-GATHER' else 'STACK' end as typology", "cast(l_orderkey div 4 as bigint) as instance",
         )
 
     @cached_property
@@ -119,13 +144,14 @@ class Views:
 
 PRELUDE = """with recursive v_edges as (
   select concat_ws('-', lpad(l_orderkey::varchar, 9, '0'), lpad(l_partkey::varchar, 7, '0'), lpad(l_suppkey::varchar, 6, '0'), l_linenumber, strftime(l_shipdate, '%Y%m%d')) as txn_id,
-    lpad(o_custkey::varchar, 8, '0') as src, lpad((l_partkey % (select count(*) from customer))::varchar, 8, '0') as dst, l_shipdate as ts,
+    lpad(o_custkey::varchar, 8, '0') || '-' || lpad(((l_orderkey + 7 * l_linenumber) % 31)::varchar, 2, '0') as src,
+    lpad((o_custkey // 16 * 16 + l_partkey % 16)::varchar, 8, '0') || '-' || lpad(((l_partkey // 16 + l_suppkey) % 31)::varchar, 2, '0') as dst, l_shipdate as ts,
     cast(round(l_extendedprice * 100) as bigint) as amount_cents, l_returnflag || l_linestatus as format
-  from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1 and l_orderkey % 4 = 0
+  from lineitem join orders on l_orderkey = o_orderkey
 ), v_labels as (
   select concat_ws('-', lpad(l_orderkey::varchar, 9, '0'), lpad(l_partkey::varchar, 7, '0'), lpad(l_suppkey::varchar, 6, '0'), l_linenumber, strftime(l_shipdate, '%Y%m%d')) as txn_id,
-    l_returnflag = 'R' as label, case l_orderkey % 3 when 0 then 'CYCLE' when 1 then 'SCATTER-GATHER' else 'STACK' end as typology, cast(l_orderkey // 40 as bigint) as instance
-  from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1 and l_orderkey % 4 = 0
+    l_returnflag = 'R' as label, case l_orderkey % 3 when 0 then 'CYCLE' when 1 then 'SCATTER-GATHER' else 'STACK' end as typology, cast(l_orderkey // 4 as bigint) as instance
+  from lineitem join orders on l_orderkey = o_orderkey
 ), v_agents as (
   select c_custkey as agent_id, cast(length(bin(c_custkey + 1)) - 1 as int) as generation, c_mktsegment as bloodline,
     case when c_acctbal >= 0 then 'alive' else 'dead' end as status, timestamp '1990-01-01' + to_hours(c_custkey) as spawned_at,
