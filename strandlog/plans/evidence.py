@@ -124,7 +124,9 @@ def _(v: Views) -> DataFrame:
 
 @query("ann_vs_exact_recall")
 def _(v: Views) -> DataFrame:
-    return N.recall(N.topk_indexed(v.vectors.filter(ASKED), v.vectors, 5), N.topk_in_blocks(v.vectors.filter(ASKED), v.vectors, 5))
+    found = N.topk_indexed(v.vectors.filter(ASKED), v.vectors, 5)
+    share = found.groupBy("query_id").agg(F.max("met").alias("met")).crossJoin(F.broadcast(v.vectors.agg(F.count("*").alias("n"))))
+    return N.recall(found, top(v)).join(share.select("query_id", (F.col("met") / F.col("n")).alias("share_met")), "query_id", "left")
 
 
 @query("self_retrieval", "select vec_id, true as itself from v_vectors where vec_id % 50 = 0")
