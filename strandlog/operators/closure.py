@@ -8,14 +8,11 @@ from pyspark.sql import functions as F
 from strandlog.functions.written import cut
 from strandlog.operators.holdings import beliefs_held
 
-MAX_DEPTH = 256
-
-
-def inheritance_closure(beliefs: DataFrame, inheritance: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def inheritance_closure(beliefs: DataFrame, inheritance: DataFrame) -> DataFrame:
     """belief_id, depth, agent_id, from_agent_id, inherited_at, invalidated_at, path, truncated for all beliefs at once.
 
     From each originator along the belief's edges; two ways in give two rows. An agent met again on its own path is told
-    (truncated) and not followed; so is whoever lies deeper than ``max_depth``."""
+    (truncated) and not followed, so every path ends, however deep it goes; a round is written for each depth."""
     null_ts = F.lit(None).cast("timestamp")
     level = beliefs.select(
         "belief_id", F.lit(0).alias("depth"), F.col("originating_agent_id").alias("agent_id"), F.lit(None).cast("long").alias("from_agent_id"),
@@ -23,9 +20,11 @@ def inheritance_closure(beliefs: DataFrame, inheritance: DataFrame, max_depth: i
     )
     level = out = cut(level, "closure")
     edges = inheritance.select("belief_id", F.col("from_agent_id").alias("agent_id"), F.col("to_agent_id").alias("next"), F.col("inherited_at").alias("at"), F.col("invalidated_at").alias("gone"))
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         step = level.filter("not truncated").select("belief_id", "agent_id", "path").join(edges, ["belief_id", "agent_id"])
-        again = F.array_contains("path", F.col("next")) | F.lit(depth == max_depth)
+        again = F.array_contains("path", F.col("next"))
         level = cut(
             step.select(
                 "belief_id", F.lit(depth).alias("depth"), F.col("next").alias("agent_id"), F.col("agent_id").alias("from_agent_id"), F.col("at").alias("inherited_at"),
@@ -34,9 +33,8 @@ def inheritance_closure(beliefs: DataFrame, inheritance: DataFrame, max_depth: i
             "closure",
         )
         if level.isEmpty():
-            break
+            return out
         out = out.union(level)
-    return out
 
 
 def ancestor_chains(closure: DataFrame) -> DataFrame:

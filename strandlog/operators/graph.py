@@ -282,23 +282,30 @@ def structure_facts(edges: DataFrame) -> DataFrame:
 
 def neighbourhood(edges: DataFrame, subjects: DataFrame, hops: int = MAX_HOPS // 2, limit: int = 120) -> DataFrame:
     """subject, txn_id, place: the edges within ``hops`` undirected steps of a subject's ends, nearest first (the
-    subject itself, then by its farther end's depth, then id), ``limit`` at most for each subject."""
-    flow = edges.filter("src <> dst")
+    subject itself, then by its farther end's depth, then id), ``limit`` at most for each subject.
+
+    The edges of a depth are found with its accounts, and a subject that has ``limit`` edges goes no further: those of
+    greater depth would come after them."""
+    flow = edges.filter("src <> dst").select("txn_id", "src", "dst")
     near = cut(flow.select("src", "dst").union(flow.select("dst", "src")).distinct().toDF("node", "next"), "near")
-    ends = edges.join(subjects, "txn_id", "left_semi").select(F.col("txn_id").alias("subject"), F.explode(F.array("src", "dst")).alias("node")).distinct()
-    frontier = cut(ends.withColumn("depth", F.lit(0)), "around")
-    known = frontier
-    for depth in range(1, hops + 1):
-        more = frontier.join(near, "node").select("subject", F.col("next").alias("node")).distinct().join(known, ["subject", "node"], "left_anti")
-        frontier = cut(more.withColumn("depth", F.lit(depth)), "around")
-        if frontier.isEmpty():
-            break
-        known = known.union(frontier)
-    one = known.select("subject", F.col("node").alias("src"), F.col("depth").alias("d1"))
-    two = known.select("subject", F.col("node").alias("dst"), F.col("depth").alias("d2"))
     # self-loops belong to no adjacency: of them only the subject's own edge would be asked for, and it has no path
-    inside = flow.join(one, "src").join(two, ["subject", "dst"])
-    inside = inside.withColumn("rank", F.when(F.col("txn_id") == F.col("subject"), -1).otherwise(F.greatest("d1", "d2")))
+    ends = edges.join(subjects, "txn_id", "left_semi").select(F.col("txn_id").alias("subject"), F.explode(F.array("src", "dst")).alias("node")).distinct()
+    frontier = known = cut(ends, "around")
+    inside = None
+    for depth in range(hops + 1):
+        if depth:
+            frontier = cut(frontier.join(near, "node").select("subject", F.col("next").alias("node")).distinct().join(known, ["subject", "node"], "left_anti"), "around")
+            if frontier.isEmpty():
+                break
+            known = known.union(frontier)
+        sides = [flow.join(frontier.withColumnRenamed("node", a), a).join(known.withColumnRenamed("node", b), ["subject", b]).select("subject", "txn_id") for a, b in (("src", "dst"), ("dst", "src"))]
+        found = sides[0].union(sides[1]).distinct().withColumn("rank", F.when(F.col("txn_id") == F.col("subject"), -1).otherwise(F.lit(depth)))
+        first = Window.partitionBy("subject").orderBy("rank", "txn_id")
+        found = cut(found.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= limit).drop("place"), "inside")
+        inside = found if inside is None else inside.union(found)
+        if depth < hops:
+            full = inside.groupBy("subject").agg(F.count("*").alias("n")).filter(F.col("n") >= limit).select("subject")
+            frontier = frontier.join(full, "subject", "left_anti")
     order = Window.partitionBy("subject").orderBy("rank", "txn_id")
     return inside.select("subject", "txn_id", F.row_number().over(order).alias("place")).filter(F.col("place") <= limit)
 

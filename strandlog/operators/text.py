@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.functions.written import cut
+
 FLOOR = 25
 WINDOW = 12
-_PIECE = 1000
+_PIECE = 100
+
+
+# fixed values: notes as <sup>n</sup>, and the 1 to 3 digits that one leaves after a full stop or quotation mark
+NOTE = r"<sup>\d+</sup>"
+NOTE_DIGITS = r"(?<=[.\"”])\d{1,3}$"
 
 
 def clean_footnotes(text: Column) -> Column:
-    """Without <sup>n</sup>, and without the 1 to 3 digits that a note leaves after a full stop or quotation mark."""
-    return F.regexp_replace(F.regexp_replace(text, r"<sup>\d+</sup>", ""), r"(?<=[.\"”])\d{1,3}$", "")
+    """The text without its notes' numbers."""
+    return F.regexp_replace(F.regexp_replace(text, NOTE, ""), NOTE_DIGITS, "")
 
 
 def line_kinds(lines: DataFrame) -> DataFrame:
@@ -50,18 +57,22 @@ def normalized(text: str) -> Column:
 
 
 def _windows(rows: DataFrame, key: str) -> DataFrame:
-    """key, h: the distinct windows' hashes. Long texts are cut into pieces that overlap, so substrings stay cheap."""
+    """key, w: the windows' hashes, repeats within a text included. Texts are cut into short pieces that overlap, as a
+    substring costs what lies before it."""
     pieces = F.explode(F.expr(f"transform(sequence(0, greatest(0, length(said) - {WINDOW}), {_PIECE}), p -> substr(said, p + 1, {_PIECE + WINDOW - 1}))"))
     d = rows.filter(F.length("said") >= WINDOW).select(key, pieces.alias("piece")).filter(F.length("piece") >= WINDOW)
-    return d.select(key, F.explode(F.expr(f"array_distinct(transform(sequence(1, length(piece) - {WINDOW - 1}), i -> substr(piece, i, {WINDOW})))")).alias("w")).distinct()
+    return d.select(key, F.explode(F.expr(f"transform(sequence(1, length(piece) - {WINDOW - 1}), i -> xxhash64(substr(piece, i, {WINDOW})))")).alias("w"))
 
 
 def verbatim_coverage(fragments: DataFrame, sources: DataFrame, floor: float = 0.9) -> DataFrame:
-    """fragment, coverage, suspect: the greatest share of a fragment's windows of 12 characters found in one source."""
-    f = _windows(fragments.select("fragment", normalized("text").alias("said")), "fragment")
+    """fragment, coverage, suspect: the greatest share of a fragment's windows of 12 characters found in one source.
+
+    Windows are told by a 64-bit hash. Those of the sources meet the wanted ones (written, so that Spark knows whether
+    they are few enough to broadcast) where they are read, and only what is left is moved."""
+    f = cut(_windows(fragments.select("fragment", normalized("text").alias("said")), "fragment").distinct(), "fragments")
     total = f.groupBy("fragment").agg(F.count("*").alias("total"))
-    wanted = f.select("w").distinct()
-    s = _windows(sources.select("source", normalized("text").alias("said")), "source").join(wanted, "w", "left_semi")
+    wanted = cut(f.select("w").distinct(), "wanted")
+    s = _windows(sources.select("source", normalized("text").alias("said")), "source").join(wanted, "w", "left_semi").distinct()
     hits = s.join(f, "w").groupBy("fragment", "source").agg(F.count("*").alias("k")).groupBy("fragment").agg(F.max("k").alias("k"))
     d = total.join(hits, "fragment", "left").withColumn("coverage", F.coalesce("k", F.lit(0)) / F.col("total"))
     return d.select("fragment", "coverage", (F.col("coverage") < floor).alias("suspect"))

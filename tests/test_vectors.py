@@ -13,7 +13,7 @@ def test_every_fiftieth_vector_asks_and_the_index_finds_nine_in_ten(spark, data)
     rows = plans.queries()["ann_vs_exact_recall"](spark, data).collect()
     assert {r.query_id for r in rows} == asked
     assert {r.query_id for r in plans.queries()["retrieve_indexed"](spark, data).collect()} == asked
-    assert sum(r.recall for r in rows) / len(rows) >= 0.9 and all(r.share_met < 0.7 for r in rows)
+    assert sum(r.recall for r in rows) / len(rows) >= 0.9 and all(r.share_met < 0.8 for r in rows)
 
 
 def test_index_prunes_where_vectors_cluster(spark):
