@@ -9,7 +9,7 @@ from strandlog.functions.written import cut
 
 FLOOR = 25
 WINDOW = 12
-_PIECE = 100
+_PIECE = 4_000
 
 
 # fixed values: notes as <sup>n</sup>, and the 1 to 3 digits that one leaves after a full stop or quotation mark
@@ -57,11 +57,12 @@ def normalized(text: str) -> Column:
 
 
 def _windows(rows: DataFrame, key: str) -> DataFrame:
-    """key, w: the windows' hashes, repeats within a text included. Texts are cut into short pieces that overlap, as a
-    substring costs what lies before it."""
+    """key, w: the windows' hashes, repeats within a text included. A look-ahead finds the windows at all places in one
+    pass; long texts are cut into pieces that overlap, so that few windows are held at a time."""
     pieces = F.explode(F.expr(f"transform(sequence(0, greatest(0, length(said) - {WINDOW}), {_PIECE}), p -> substr(said, p + 1, {_PIECE + WINDOW - 1}))"))
-    d = rows.filter(F.length("said") >= WINDOW).select(key, pieces.alias("piece")).filter(F.length("piece") >= WINDOW)
-    return d.select(key, F.explode(F.expr(f"transform(sequence(1, length(piece) - {WINDOW - 1}), i -> xxhash64(substr(piece, i, {WINDOW})))")).alias("w"))
+    d = rows.filter(F.length("said") >= WINDOW).select(key, pieces.alias("piece"))
+    d = d.select(key, F.explode(F.expr(f"regexp_extract_all(piece, '(?=(.{{{WINDOW}}}))', 1)")).alias("said"))
+    return d.select(key, F.xxhash64("said").alias("w"))
 
 
 def verbatim_coverage(fragments: DataFrame, sources: DataFrame, floor: float = 0.9) -> DataFrame:
