@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.functions.written import cut
+
 from strandlog.functions.statistics import f1, fisher_exact, wilson
 
 CORRECT = "(verdict = 'approve') <> is_fraud"
@@ -150,11 +152,18 @@ def target_encode(rows: DataFrame, column: str) -> DataFrame:
 def best_f1_threshold(rows: DataFrame, by: list[str], score: str) -> DataFrame:
     """Per group: the threshold (score >= threshold is positive) of best F1, the highest of equally good ones.
 
-    Scores are counted first, so the running sums go over distinct scores only."""
+    Scores are counted first. The counts are dealt out by ranges of falling score; a running sum goes over the ranges'
+    totals, few rows, and another within each range, so no task sees all scores of a group."""
     per = rows.groupBy(*by, F.col(score).alias("threshold")).agg(F.count_if("label").alias("p"), F.count("*").alias("k"))
-    down = Window.partitionBy(*by).orderBy(F.desc("threshold"))
+    # ranges depend on a sample, so they are written with the rows
+    per = cut(per.repartitionByRange(*by, F.desc("threshold")).withColumn("part", F.spark_partition_id()), "ranges")
+    totals = per.groupBy(*by, "part").agg(F.sum("p").alias("part_p"), F.sum("k").alias("part_k"))
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    per = per.withColumn("tp", F.sum("p").over(down)).withColumn("taken", F.sum("k").over(down)).withColumn("pos", F.sum("p").over(whole))
+    totals = totals.select(*by, "part", *[F.coalesce(F.sum(f"part_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in "pk"], F.sum("part_p").over(whole).alias("pos"))
+    down = Window.partitionBy(*by, "part").orderBy(F.desc("threshold"))
+    per = per.join(totals, [*by, "part"])
+    per = per.withColumn("tp", F.col("before_p") + F.sum("p").over(down)).withColumn("taken", F.col("before_k") + F.sum("k").over(down))
     per = per.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("tp"), F.col("taken") + F.col("pos")), F.lit(0.0)))
     best = per.groupBy(*by).agg(F.max(F.struct("f1", "threshold")).alias("b")) if by else per.agg(F.max(F.struct("f1", "threshold")).alias("b"))
     return best.select(*by, "b.threshold", "b.f1")

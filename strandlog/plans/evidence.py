@@ -37,14 +37,14 @@ def lines(v: Views) -> DataFrame:
     return d.withColumn("line", F.expr(mark))
 
 
-@query("scan_markdown_lines", LINES + "select n, count(*) as k, sum(length(line))::bigint as chars from lines group by 1")
+@query("scan_markdown_lines", LINES + """, numbered as (select row_number() over (partition by doc // 200 order by doc, n) - 1 as n, line from lines)
+select cast(n as int) as n, count(*) as k, sum(length(line))::bigint as chars from numbered group by 1""")
 def _(v: Views) -> DataFrame:
     at = K.fresh(shared_dir(v.spark), "markdown")
-    d = lines(v).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
-    d = d.select(F.expr("pmod(hash(doc), 64)").alias("part"), F.array_join(F.transform("l", lambda x: x["line"]), "\x01").alias("value"))
-    d.repartition("part").select("value").write.text(at)  # a document per line here, its own lines told apart by \x01
-    read = v.spark.read.text(at).select(F.posexplode(F.split("value", "\x01")).alias("n", "line"))
-    return read.groupBy("n").agg(F.count("*").alias("k"), F.sum(F.length("line")).alias("chars"))
+    d = lines(v).groupBy(F.expr("doc div 200").alias("part")).agg(F.array_sort(F.collect_list(F.struct("doc", "n", "line"))).alias("l"))
+    d = d.select("part", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("value"))
+    d.write.partitionBy("part").text(at)  # a file of 200 documents each
+    return K.read_markdown_lines(v.spark, at).groupBy("n").agg(F.count("*").alias("k"), F.sum(F.length("line")).alias("chars"))
 
 
 @query("chunk_documents", CHUNKS + "select doc, section, cast(ordinal as int) as ordinal, body from chunks")

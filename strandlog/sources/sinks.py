@@ -95,9 +95,9 @@ def pattern_blocks(files: DataFrame) -> DataFrame:
 
 
 def read_markdown_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, n (from 0), line of text files."""
-    d = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return d.select("file", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    """file, n (from 0), line of the text files under path; the end of the last line begins no other."""
+    d = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).withColumn("file", F.input_file_name())
+    return d.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("n", "line"))
 
 
 def read_artifact(spark: SparkSession, path: str, schema: str, version: int) -> DataFrame:
