@@ -24,7 +24,6 @@ from strandlog.llm.tokens import encoder, vocabulary_path
 LENGTH = 1024
 END_ID = 2
 CHUNK = 20_000
-MOST_OPEN = 2_500  # caps nothing any more; a test sets it
 SLACK = 8
 VOCABULARY = "byte_bpe_50k.tiktoken"
 

@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from strandlog.llm import html_extract, line_dedup, ngram_join, packing, queries, secret_scan, token_counts, tokens
+from strandlog.llm import fingerprints, html_extract, line_dedup, mixing, ngram_join, packing, quality, queries, secret_scan, token_counts, tokens
 from tests.oracle import assert_same
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -344,7 +344,6 @@ def test_packing(spark, data, documents):
 
 def test_packing_up_a_tree(spark, monkeypatch):
     monkeypatch.setattr(packing, "CHUNK", 20)
-    monkeypatch.setattr(packing, "MOST_OPEN", 6)
     rnd = random.Random(2)
     sizes = [rnd.randint(1, 1024) for _ in range(600)]
     pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], packing._PIECES).repartition(5)
@@ -368,14 +367,81 @@ def test_fingerprints(spark, data, documents):
     assert max(map(abs, errors)) < 0.15 and abs(sum(errors) / len(errors)) < 0.01
 
 
+def plain_fingerprint(text):
+    """One-permutation MinHash with densification of a text, in whole numbers modulo 2 ** 64, from its definition."""
+    mod = lambda x: x % 2**64
+
+    def mix(x):
+        x = mod((x ^ x >> 30) * 0xBF58476D1CE4E5B9)
+        x = mod((x ^ x >> 27) * 0x94D049BB133111EB)
+        return x ^ x >> 31
+
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text).encode())
+    hashes = [mix(mod(sum((c + 1) * pow(0x9E3779B97F4A7C15, i, 2**64) for i, c in enumerate(w)) + len(w))) for w in words]
+    k = min(5, len(words))
+    found = set()
+    for at in range(len(words) - k + 1) if words else ():
+        h = mod(k * 0xD6E8FEB86659FD93)
+        for x in hashes[at : at + k]:
+            h = mod(h * 0xFF51AFD7ED558CCD + x)
+            h ^= h >> 29
+        found.add(mix(h))
+    least = {}
+    for h in sorted(found, reverse=True):
+        least[h >> 55] = h
+    out = bytearray()
+    for b in range(512) if least else ():
+        source, attempt = b, 0
+        while source not in least:
+            attempt += 1
+            source = mix(mod((b + 512 * attempt) * 0x9E3779B97F4A7C15)) >> 55
+        out.append(least[source] % 256)
+    return out.hex()
+
+
+def test_fingerprints_against_plain_ones(spark, documents):
+    texts = {i: documents[i].text[:2_000] for i in sorted(documents)[:40]} | {-1: "", -2: "one", -3: "Two  words\n", -4: None, -5: "a b c d e " * 30, -6: "\u00e9\U0001f642 \u00c4 x \u00e9 \u3042\u3042 z"}
+    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert got == {i: plain_fingerprint(t or "") for i, t in texts.items()}
+
+
+def test_ids_are_those_of_the_tokenizers_library():
+    """Special tokens in a text, white space of all kinds and random Unicode."""
+    from tokenizers import Tokenizer
+
+    rnd, bpe = random.Random(4), Tokenizer.from_file(tokens.vocabulary_path("byte_bpe_50k.json"))
+    parts = ["<|endoftext|>", "<|endoftext", "don't", "  ", "\n\n", "\t", "\u00a0", "\u2028", "1234567", "_x", "\u00e9t\u00e9", "\U0001f642\u200d", "\u0301", "A", "\x00", "..."]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(300)]
+    texts += ["".join(chr(x) for x in (rnd.randrange(0x2FFF) for _ in range(60)) if not 0xD800 <= x < 0xE000) for _ in range(300)]
+    encode = tokens.encoder(tokens.vocabulary_path(packing.VOCABULARY)).encode
+    for t in texts:
+        assert list(encode(t)) == bpe.encode(t, add_special_tokens=False).ids, t
+
+
 def test_pipeline_equals_its_parts_written_plainly(spark, data, documents):
-    kept = {r.doc_id for r in queries.QUERIES["op8_quality"](spark, data).collect() if r.kept}
+    """Which pieces come out, and how often: quality and mixing by their SQL, the rest by the plain versions above."""
+    import duckdb
+    import pandas as pd
+    from tokenizers import Tokenizer
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{data}/documents.parquet'")
+    kept = set(con.execute(quality.SQL).fetchdf().query("kept").doc_id)
     gone = plain_runs(sorted((i, documents[i].text) for i in kept), 50)
     left = {i: "\n".join(x for k, x in enumerate(documents[i].text.split("\n")) if k not in gone.get(i, ())) for i in kept}
     left = {i: t for i, t in left.items() if t.strip(BLANKS)}
-    firsts = {i for i, (_, c) in plain_components(left, 5, 80).items() if i == c}
-    pieces = Counter((r.doc_id, r.piece) for r in corpus_pipeline.run(spark, data).collect())
-    assert {i for i, _ in pieces} <= firsts and max(pieces.values()) <= 2
-    sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", left[i])) for i in firsts}
-    taken = sum(sizes[i] * n for (i, k), n in pieces.items() if k == 0)
-    assert abs(taken - 1.5 * sum(sizes.values())) < 0.1 * 1.5 * sum(sizes.values())
+    firsts = [i for i, (_, c) in plain_components(left, 5, 80).items() if i == c]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": firsts, "source": [documents[i].source for i in firsts], "text": [left[i] for i in firsts]}))
+    bpe, want = Tokenizer.from_file(tokens.vocabulary_path("byte_bpe_50k.json")), Counter()
+    for r in con.execute(mixing.SQL).fetchdf().itertuples():
+        ids = [*bpe.encode(left[r.doc_id], add_special_tokens=False).ids, 2]
+        for k, (start, n) in enumerate(packing.cut(len(ids), 1024)):
+            want[r.doc_id, k, start, n, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[start : start + n]))] += r.taken // r.size
+    got = corpus_pipeline.run(spark, data).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == +want
+    fill = Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill[r.sequence_id]
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 1024
