@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+_ROUNDS: list[str] = []
+
+
+@contextmanager
+def rounds(spark: SparkSession) -> Iterator[None]:
+    """What is saved within is removed at the end, but for what is saved as ``lasting``; so read nothing else later."""
+    _ROUNDS.append(f"rounds-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{_ROUNDS.pop()}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def save(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: ends its plan and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = "/".join([shared_dir(spark), *([] if lasting else _ROUNDS[-1:]), f"{name}-{uuid.uuid4().hex}"])
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

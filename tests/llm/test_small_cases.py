@@ -79,6 +79,12 @@ def test_chat_and_pages(spark):
     got = {r.conv_id: r for r in chat_format.render(spark.createDataFrame(turns, schema)).collect()}
     assert set(got) == {1, None, 3} and got[3].n_turns == 2 and got[1].text.startswith("<|user|>\nhi<|end|>")
     assert chat_format.render(spark.createDataFrame([], schema)).count() == 0
+    from pyspark.sql import functions as F
+
+    wide = spark.createDataFrame(turns, schema).withColumns({c: F.lit(1) for c in ("k", "n", "x1", "piece", "n_copies")})
+    assert {r.conv_id for r in chat_format.render(wide).collect()} == set(got)
+    long = [(7, k, "user" if k % 2 else "bot", "word " * 50) for k in range(4_000)] + [(8, k, "user" if k % 2 else "bot", "word " * 50) for k in range(3_999)]
+    assert [(r.conv_id, r.n_turns) for r in chat_format.render(spark.createDataFrame(long, schema)).collect()] == [(7, 4_000)]
     pages = "page_id long, url string, html string"
     assert html_extract.extract(spark.createDataFrame([], pages)).count() == 0
     assert [r.text for r in html_extract.extract(spark.createDataFrame([(1, None, None), (None, "u", "")], pages)).collect()] == ["", ""]
