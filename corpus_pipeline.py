@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlog.llm import line_dedup, mixing, ngram_join, packing, quality
-from strandlog.llm.common import save, table
+from strandlog.llm.common import rounds, save, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each one's rows written to the shared folder and read again by the next."""
+    """The stages over documents, each one's rows written to the shared folder and read again by the next; what a
+    stage saved on its way is removed when its rows are there."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = save(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with rounds(spark):
+            docs = save(stage(spark, docs, sf_dir), f"stage-{name}", lasting=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
