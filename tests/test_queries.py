@@ -1,18 +1,11 @@
-"""Every query with SQL against that SQL. Those that search for cycles repeat one search; two stand for them."""
+"""Every query with SQL against that SQL."""
 
 import pytest
 
 from strandlog import plans
 from tests.oracle import assert_same
 
-SLOW = {
-    "cycle_path", "competing_witnesses", "witness_census", "conclusive_no_split", "basis_four_way", "decide_all", "seam_disclosure", "zero_witness_share", "witness_profile_category",
-    "witness_citation_flags", "quota_sample", "return_path_hops", "ring_order", "predecessor_of", "witness_scorecard", "precision_recall_f1", "head_to_head", "per_instance_detection",
-    "reconcile_totals", "grounding_lines", "render_witness_text", "verify_citations", "replay_closure", "ancestor_chain", "closure_world_hash", "sink_certificates_json", "build_certificates", "cycle_witness",
-}
-
-
-@pytest.mark.parametrize("name", [n for n in plans.oracle_sql() if n not in SLOW])
+@pytest.mark.parametrize("name", plans.oracle_sql())
 def test_query_equals_its_sql(spark, data, name):
     assert_same(spark, plans.queries()[name], plans.oracle_sql()[name], data)
 
