@@ -50,11 +50,11 @@ def rounds(spark: SparkSession) -> Iterator[None]:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def save(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
-    """Writes df to the shared folder and reads it back: ends its plan and survives lost executors."""
+def save(df: DataFrame, name: str, lasting: bool = False, by: list[str] | None = None) -> DataFrame:
+    """Writes df to the shared folder, in folders ``by`` columns, and reads it back: ends its plan and survives lost executors."""
     spark = df.sparkSession
     path = "/".join([shared_dir(spark), *([] if lasting else _ROUNDS[-1:]), f"{name}-{uuid.uuid4().hex}"])
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlog.llm import chat_format, fingerprints, html_extract, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_counts
+from strandlog.llm import chat_format, fingerprints, html_extract, inverted_index, lexical, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_counts, variants
 from strandlog.llm.common import table
 
 
@@ -46,6 +46,18 @@ def op8_quality(spark, sf_dir):
     return quality.quality_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark, sf_dir):
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_neighbours(spark, sf_dir):
+    return inverted_index.search(table(spark, sf_dir, "embeddings"))
+
+
+def op13_variants(spark, sf_dir):
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -57,6 +69,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
+    "op11_lexical": op11_lexical,
+    "op12_neighbours": op12_neighbours,
+    "op13_variants": op13_variants,
 }
 
 SQL = {
