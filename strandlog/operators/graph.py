@@ -10,19 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions.written import cut
+from strandlog.operators.cycles import MAX_HOPS, goes_on, return_paths
 
-MAX_HOPS = 12
 MIN_FANOUT = 2
-MAX_FRONTIER = 2_000_000_000
-PRUNE_EVERY = 3
 TYPOLOGIES = ("CYCLE", "GATHER-SCATTER", "SCATTER-GATHER", "STACK")
 FLAG_CAPABLE = ("CYCLE", "SCATTER-GATHER")
 
 
-class FrontierTooLarge(RuntimeError):
-    """A search would go on with more rows than allowed; nothing is cut off silently."""
-
-
 def adjacency(edges: DataFrame) -> DataFrame:
     """One row per ordered pair of accounts: its representative edge (least id), earliest ts, number of edges."""
     return edges.filter("src <> dst").groupBy("src", "dst").agg(F.min("txn_id").alias("rep_id"), F.min("ts").alias("first_ts"), F.count("*").alias("n_edges"))
@@ -34,56 +28,6 @@ def sinks(edges: DataFrame) -> DataFrame:
     return accounts.join(edges.filter("src <> dst").select(F.col("src").alias("account")), "account", "left_anti")
 
 
-def _core(pairs: DataFrame) -> DataFrame:
-    """Pairs left when nodes without a way in or out are taken off again and again; all cycles are in them. It ends
-    when a round takes few: what is left over costs the search a little and changes nothing."""
-    size, left = None, pairs
-    while size is None or now < 0.9 * size:
-        size = left.count() if size is None else now
-        left = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        left = cut(left.select("src", "dst"), "core")
-        now = left.count()
-    return left
-
-
-def return_paths(pairs: DataFrame, min_level: int, max_frontier: int = MAX_FRONTIER) -> DataFrame:
-    """src, dst, level, path for the pairs that a way leads back from dst to src within the hop budget.
-
-    path lists the accounts from dst to the last before src, the least account breaking each tie; level is its length
-    less one and at least ``min_level``. Searches start once from each dst and end when all its pairs are settled.
-    """
-    core = _core(pairs.select("src", "dst"))
-    step = core.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    wanted = core.select("src", F.col("dst").alias("root"))
-    frontier = cut(wanted.select("root").distinct().select("root", F.col("root").alias("node"), F.array("root").alias("path")), "frontier")
-    seen, live, found = frontier.select("root", "node"), None, None
-    for level in range(MAX_HOPS):
-        if level >= min_level:
-            closing = frontier.join(step, "node").select("root", F.col("next").alias("src"), "node", "path")
-            hits = closing.join(wanted, ["root", "src"]).groupBy("src", "root").agg(F.min_by("path", "node").alias("path")).withColumn("level", F.lit(level))
-            found = hits if found is None else found.unionByName(hits)
-        if level == MAX_HOPS - 1:
-            break
-        if level and level % PRUNE_EVERY == 0:  # roots whose pairs are all settled go no further
-            found = cut(found, "hits")
-            live = cut(wanted.join(found, ["src", "root"], "left_anti").select("root").distinct(), "live")
-        on = frontier if live is None else frontier.join(live, "root", "left_semi")
-        reached = on.join(step, "node").groupBy("root", "next").agg(F.min_by("path", "node").alias("path"))
-        reached = reached.select("root", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
-        frontier = cut(reached.join(seen, ["root", "node"], "left_anti"), "frontier")
-        size = frontier.count()
-        if size > max_frontier:
-            raise FrontierTooLarge(f"{size} rows after {level + 1} hops")
-        if not size:
-            break
-        seen = seen.union(frontier.select("root", "node"))
-    if found is None:  # not even a first hop
-        found = frontier.select(F.col("root").alias("src"), "root", "path", F.lit(0).alias("level"))
-    best = found.groupBy("src", F.col("root").alias("dst")).agg(F.min("level").alias("level"), F.min_by("path", "level").alias("path"))
-    return cut(best, "paths")
-
-
 def nearest_sinks(pairs: DataFrame, sink_accounts: DataFrame, hops: int = MAX_HOPS - 1) -> DataFrame:
     """account, distance, boundary: the nearest sink within the budget (the least of equally near), if there is one.
 
@@ -100,21 +44,9 @@ def nearest_sinks(pairs: DataFrame, sink_accounts: DataFrame, hops: int = MAX_HO
     return known
 
 
-def _goes_on(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The roots from which some account is first reached at the hop after the budget's last."""
-    frontier = cut(roots.select("root", F.col("root").alias("node")), "on")
-    seen = frontier
-    step = pairs.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    for _ in range(MAX_HOPS):
-        frontier = cut(frontier.join(step, "node").select("root", F.col("next").alias("node")).distinct().join(seen, ["root", "node"], "left_anti"), "on")
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier)
-    return frontier.select("root").distinct()
-
-
-def cycle_witness(edges: DataFrame) -> DataFrame:
-    """txn_id, src, dst, outcome, length, boundary, budget_exhausted, is_simple, path of every edge.
+def cycle_witness(edges: DataFrame, back: DataFrame | None = None) -> DataFrame:
+    """txn_id, src, dst, outcome, length, boundary, budget_exhausted, is_simple, path of every edge. ``back`` are the
+    pairs' ways back if they are known already.
 
     MATCH: the edge closes a directed cycle of 3 to 13 edges. INCONCLUSIVE: there is none, and a sink, whose own edges
     the data may lack, lies within the search. CONCLUSIVE_NO otherwise; budget_exhausted tells the searches that ended
@@ -122,12 +54,12 @@ def cycle_witness(edges: DataFrame) -> DataFrame:
     back passes through the source already (only when dst also pays src directly).
     """
     pairs = cut(adjacency(edges), "pairs")
-    back = return_paths(pairs, min_level=1)
+    back = return_paths(pairs) if back is None else back
     near = nearest_sinks(pairs, sinks(edges))
     judged = pairs.select("src", "dst").join(back, ["src", "dst"], "left")
     judged = cut(judged.join(near.select(F.col("account").alias("dst"), "boundary"), "dst", "left"), "judged")
     undecided = judged.filter("level is null and boundary is null").select(F.col("dst").alias("root")).distinct()
-    on = _goes_on(pairs, undecided).select(F.col("root").alias("dst"), F.lit(True).alias("goes_on"))
+    on = goes_on(pairs, undecided).select(F.col("root").alias("dst"), F.lit(True).alias("goes_on"))
     judged = judged.join(on, "dst", "left")
     d = edges.join(judged, ["src", "dst"], "left")
     outcome = F.when(F.col("level").isNotNull(), "MATCH").when(F.col("boundary").isNotNull(), "INCONCLUSIVE").otherwise("CONCLUSIVE_NO")
@@ -153,8 +85,11 @@ def scatter_gather_witness(edges: DataFrame) -> DataFrame:
     A gather edge may not precede the first scatter edge to its account. ids are two scatter and two gather edges, those
     of dst first; representatives stand for the scatter edges, so an edge with a twin may be absent from its witness."""
     pairs = cut(adjacency(edges), "pairs")
-    flow = edges.filter("src <> dst").alias("x")
-    legs = pairs.alias("p").join(flow, F.expr("p.dst = x.src and x.dst <> p.src and x.ts >= p.first_ts"))
+    # a source of one mid and a goal that one account feeds have no witness, so a hub's legs to and from them aren't made
+    fans = pairs.groupBy("src").agg(F.count("*").alias("k")).filter(F.col("k") >= MIN_FANOUT).select("src")
+    fed = pairs.groupBy("dst").agg(F.count("*").alias("k")).filter(F.col("k") >= MIN_FANOUT).select("dst")
+    flow = edges.filter("src <> dst").join(fed, "dst", "left_semi").alias("x")
+    legs = pairs.join(fans, "src", "left_semi").alias("p").join(flow, F.expr("p.dst = x.src and x.dst <> p.src and x.ts >= p.first_ts"))
     legs = legs.groupBy(F.col("p.src").alias("src"), F.col("p.dst").alias("mid"), F.col("x.dst").alias("goal")).agg(F.min("x.txn_id").alias("gather_id"))
     legs = cut(legs, "legs")
     goals = legs.groupBy("src", "goal").agg(F.count("*").alias("mids")).filter(F.col("mids") >= MIN_FANOUT)
@@ -213,6 +148,20 @@ def gather_scatter_witness(edges: DataFrame) -> DataFrame:
     return d.select("txn_id", "src", "dst", outcome.alias("outcome"), F.when(open_end, F.col("dst")).alias("boundary"), ids.alias("ids"))
 
 
+def _least_edges(flow: DataFrame, at: str, far: str, k: int = MIN_FANOUT) -> DataFrame:
+    """account, least: its 2k least edges (txn_id, far), at most k from each far end; so k least ones are among them
+    whichever far end doesn't count. At most 2k rows of an account move on, however many edges it has."""
+    near = Window.partitionBy(at, far).orderBy("txn_id")
+    d = flow.select(at, far, "txn_id").withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= k)
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy(at).orderBy("txn_id"))).filter(F.col("_r") <= 2 * k)
+    return d.groupBy(F.col(at).alias("account")).agg(F.array_sort(F.collect_list(F.struct("txn_id", F.col(far).alias("far")))).alias("least"))
+
+
+def _apart_from(end: str, k: int = MIN_FANOUT) -> Column:
+    """The first k ids of ``least`` whose far end is another than a column's."""
+    return F.slice(F.transform(F.filter("least", lambda x: x["far"] != F.col(end)), lambda x: x["txn_id"]), 1, k)
+
+
 def stack_witness(edges: DataFrame) -> DataFrame:
     """txn_id, src, dst, outcome, boundary, ids: do two sources or more feed src and does dst feed two or more, not
     counting the edge's own ends."""
@@ -225,9 +174,9 @@ def stack_witness(edges: DataFrame) -> DataFrame:
     both_ways = F.coalesce("mutual", F.lit(0))
     ok = (F.col("src") != F.col("dst")) & (F.coalesce("n_in", F.lit(0)) - both_ways >= MIN_FANOUT) & (F.coalesce("n_out", F.lit(0)) - both_ways >= MIN_FANOUT)
     hit = cut(d.filter(ok).select(F.col("txn_id").alias("subject"), "src", "dst"), "stacks")
-    into = hit.alias("h").join(flow.alias("x"), F.expr("x.dst = h.src and x.src <> h.dst")).select("h.subject", "x.txn_id")
-    onward = hit.alias("h").join(flow.alias("x"), F.expr("x.src = h.dst and x.dst <> h.src")).select("h.subject", "x.txn_id")
-    ids = _first_ids(into, ["subject"]).join(_first_ids(onward, ["subject"]).withColumnRenamed("ids", "on"), "subject")
+    into = hit.join(_least_edges(flow, "dst", "src").withColumnRenamed("account", "src"), "src").select("subject", _apart_from("dst").alias("ids"))
+    onward = hit.join(_least_edges(flow, "src", "dst").withColumnRenamed("account", "dst"), "dst").select("subject", _apart_from("src").alias("on"))
+    ids = into.join(onward, "subject")
     ids = ids.select(F.col("subject").alias("txn_id"), F.concat("ids", F.array("subject"), "on").alias("ids"))
     d = edges.join(ids, "txn_id", "left").join(sinks(edges).select(F.col("account").alias("dst"), F.lit(True).alias("sink")), "dst", "left")
     open_end = (F.col("src") != F.col("dst")) & F.col("sink") & F.col("ids").isNull()
@@ -263,15 +212,18 @@ def basis(outcome: str = "outcome") -> Column:
     return F.when(F.col("src") == F.col("dst"), "SELF_LOOP").when(F.col(outcome) == "CONCLUSIVE_NO", "CLOSED_SEARCH").otherwise(F.col(outcome))
 
 
-def structure_facts(edges: DataFrame) -> DataFrame:
-    """Neutral facts on both ends of every edge: distinct degrees, transfers until a return, best shared destination."""
+def structure_facts(edges: DataFrame, back: DataFrame | None = None) -> DataFrame:
+    """Neutral facts on both ends of every edge: distinct degrees, transfers until a return, best shared destination.
+    ``back`` are the pairs' ways back if they are known already; here a direct return counts as one, too."""
     pairs = cut(adjacency(edges), "pairs")
     out = pairs.groupBy("src").agg(F.count("*").alias("k"))
     into = pairs.groupBy("dst").agg(F.count("*").alias("k"))
     as_ = lambda d, key, to, name: d.select(F.col(key).alias(to), F.col("k").alias(name))
     two = pairs.alias("a").join(pairs.alias("b"), F.expr("a.dst = b.src and b.dst <> a.src"))
     shared = two.groupBy(F.col("a.src").alias("src"), F.col("b.dst").alias("goal")).agg(F.count("*").alias("k")).groupBy("src").agg(F.max("k").alias("best_shared"))
-    back = return_paths(pairs, min_level=0).select("src", "dst", (F.col("level") + 2).alias("return_hops"))
+    back = (return_paths(pairs) if back is None else back).select("src", "dst", (F.col("level") + 2).alias("return_hops"))
+    direct = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(2).alias("direct"))
+    back = pairs.select("src", "dst").join(direct, ["src", "dst"], "left").join(back, ["src", "dst"], "left").select("src", "dst", F.coalesce("direct", "return_hops").alias("return_hops"))
     d = edges
     for part, key in ((as_(out, "src", "src", "src_out"), "src"), (as_(into, "dst", "src", "src_in"), "src"), (as_(out, "src", "dst", "dst_out"), "dst"), (as_(into, "dst", "dst", "dst_in"), "dst")):
         d = d.join(part, key, "left")

@@ -48,10 +48,15 @@ class Views:
     def _kept(self, name: str, build) -> DataFrame:
         return kept(self.spark, name, [f"{self.sf_dir}/{t}.parquet" for t in ("lineitem", "orders")], build)
 
+    @property
+    def back(self) -> DataFrame:
+        """The shortest way back of every pair of accounts; searched for once, as many questions start from it."""
+        return self._kept("back", lambda: G.return_paths(G.adjacency(self.edges)))
+
     @property
     def cycles(self) -> DataFrame:
-        """The cycle witness of every edge; searched for once, as many questions start from it."""
-        return self._kept("cycles", lambda: G.cycle_witness(self.edges))
+        """The cycle witness of every edge."""
+        return self._kept("cycles", lambda: G.cycle_witness(self.edges, self.back))
 
     @property
     def witnesses(self) -> DataFrame:
@@ -60,7 +65,7 @@ class Views:
 
     @property
     def facts(self) -> DataFrame:
-        return self._kept("facts", lambda: G.structure_facts(self.edges))
+        return self._kept("facts", lambda: G.structure_facts(self.edges, self.back))
 
     @cached_property
     def labels(self) -> DataFrame:
