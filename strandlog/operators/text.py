@@ -22,34 +22,75 @@ def clean_footnotes(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, NOTE, ""), NOTE_DIGITS, "")
 
 
-def line_kinds(lines: DataFrame) -> DataFrame:
-    """lines (doc, n, line) with kind (heading, item, para) and body, less blank ones."""
-    d = lines.withColumn("line", F.trim(clean_footnotes(F.col("line")))).filter("line <> ''")
-    kind = F.when(F.col("line").startswith("#"), "heading").when(F.col("line").startswith("- "), "item").otherwise("para")
-    return d.withColumn("kind", kind).withColumn("body", F.regexp_replace("line", r"^(#+|-)\s+", ""))
+#: A document's spine: headings that match ``parts`` open a part, under which sections nest; ``furniture`` (running page
+#: headers) is passed over as if it weren't there; ``exclude`` opens matter that is left out up to the next part or section;
+#: where ``only`` has patterns, nothing but the sections that match one contributes. ``marker`` (bullet or numbered) tells which list
+#: items count. All patterns are searched for within a heading's text.
+PROFILE = "profile string, label string, parts array<string>, furniture array<string>, exclude array<string>, only array<string>, marker string"
 
+BULLET = r"(?s)^\s*[-*]\s+(.*)$"
+NUMBER = r"(?s)^\s*\d+\.\s+(.*)$"
+BOUNDARIES = ("part", "section", "excluded")
 
-def chunk_lines(lines: DataFrame) -> DataFrame:
-    """doc, section, group, n, kind, body of the lines that make up chunks.
 
-    A heading names the section of what follows and is no chunk. A list run belongs to the paragraph before it if that
-    leads in with a colon, else it is a chunk of its own; an item or paragraph that starts in lower case goes on with
-    what came before."""
-    along = Window.partitionBy("doc").orderBy("n")
-    d = line_kinds(lines)
-    d = d.withColumn("section", F.last(F.when(F.col("kind") == "heading", F.col("body")), ignorenulls=True).over(along))
-    before, lead = F.lag("kind").over(along), F.lag("body").over(along).endswith(":")
-    low = F.col("body").rlike("^[a-z]")
-    joins = F.when(F.col("kind") == "item", (before == "item") | (before == "para") & (lead | low)).otherwise((before == "para") & low)
-    d = d.withColumn("new", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("group", F.sum("new").over(along))
-    return d.filter("kind <> 'heading'").drop("new", "line")
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _any_of(patterns: str, text: Column) -> Column:
+    return F.coalesce(F.exists(patterns, lambda p: F.regexp(text, p)), F.lit(False))
+
 
+def line_kinds(lines: DataFrame, profiles: DataFrame) -> DataFrame:
+    """lines (doc, profile, n, line) with their profile's columns, kind (part, section, excluded, blank, item, para) and body: a heading's or an item's
+    text. Furniture is gone."""
+    said, heading = stripped(F.col("line")), stripped(F.regexp_replace(stripped(F.col("line")), "^[# ]+", ""))
+    marker = F.when(F.col("marker") == "numbered", F.regexp_extract("line", NUMBER, 1)).otherwise(F.regexp_extract("line", BULLET, 1))
+    is_item = F.when(F.col("marker") == "numbered", F.col("line").rlike(NUMBER)).otherwise(F.col("line").rlike(BULLET))
+    kind = (
+        F.when(said.startswith("#"), F.when(_any_of("furniture", heading), "furniture").when(_any_of("parts", heading), "part").when(_any_of("exclude", heading), "excluded").otherwise("section"))
+        .when(said == "", "blank").when(is_item, "item").otherwise("para")
+    )
+    d = lines.join(profiles, "profile").withColumn("kind", kind).filter("kind <> 'furniture'")
+    clean = stripped(clean_footnotes(stripped(F.regexp_replace(marker, NOTE, ""))))
+    return d.withColumn("body", F.when(F.col("kind") == "item", clean).when(F.col("kind").isin(*BOUNDARIES), heading))
 
-def chunk_documents(lines: DataFrame, floor: int = FLOOR) -> DataFrame:
-    """doc, section, ordinal (from 1 within the document), body: chunks of at least ``floor`` characters."""
-    d = chunk_lines(lines).groupBy("doc", "group").agg(F.first("section").alias("section"), F.array_sort(F.collect_list(F.struct("n", "body"))).alias("lines"))
-    d = d.select("doc", "group", "section", F.array_join(F.transform("lines", lambda x: x["body"]), " ").alias("body")).filter(F.length("body") >= floor)
-    return d.select("doc", "section", F.row_number().over(Window.partitionBy("doc").orderBy("group")).alias("ordinal"), "body")
+
+def chunk_lines(lines: DataFrame, profiles: DataFrame) -> DataFrame:
+    """doc, label, part, section, run, group, n, body of the list items that make up chunks.
+
+    A run is a list that no blank or other line interrupts. An item that starts in lower case is a clause of the one
+    above it in its run. Of a numbered document only the first run after each part, section or excluded heading counts: detached numbers below it
+    are notes and references. State that a reader would keep from line to line is window functions along the document."""
+    along = Window.partitionBy("doc").orderBy("n")
+    d = line_kinds(lines, profiles)
+    boundary = F.col("kind").isin(*BOUNDARIES)
+    d = d.withColumn("region", F.sum(boundary.cast("int")).over(along)).withColumn("run", F.sum((F.col("kind") != "item").cast("int")).over(along))
+    d = d.withColumn("part", F.last(F.when(F.col("kind") == "part", F.col("body")), ignorenulls=True).over(along))
+    d = d.withColumn("under", F.last(F.when(boundary, F.struct("kind", "body")), ignorenulls=True).over(along))
+    d = d.withColumn("section", F.when(F.col("under.kind") == "section", F.col("under.body")))
+    items = d.filter("kind = 'item'").withColumn("first_run", F.min("run").over(Window.partitionBy("doc", "region")))
+    items = items.filter((F.col("marker") != "numbered") | (F.col("run") == F.col("first_run")))
+    items = items.filter((F.col("under.kind") != "excluded") & F.coalesce("section", "part").isNotNull())
+    items = items.filter((F.coalesce(F.size("only"), F.lit(0)) <= 0) | _any_of("only", F.coalesce("section", F.lit(""))) & F.col("section").isNotNull())
+    within = Window.partitionBy("doc", "run").orderBy("n")
+    new = (F.row_number().over(within) == 1) | ~F.col("body").rlike(r"^\P{L}*\p{Ll}")
+    return items.withColumn("new", new.cast("int")).withColumn("group", F.sum("new").over(within)).select("doc", "label", "part", "section", "run", "group", "n", "body")
+
+
+def chunk_documents(lines: DataFrame, profiles: DataFrame, floor: int = FLOOR) -> DataFrame:
+    """doc, label, part, section, lead_in, ordinal (from 0 within the document), body, source_lines.
+
+    A chunk is an item with its clauses. One that ends in a colon is no chunk, it leads in the later ones of its run. An item
+    that stands alone, without clauses and lead-in, has at least ``floor`` characters."""
+    d = chunk_lines(lines, profiles).groupBy("doc", "run", "group").agg(F.first("label").alias("label"), F.first("part").alias("part"), F.first("section").alias("section"), F.array_sort(F.collect_list(F.struct("n", "body"))).alias("lines"))
+    d = d.withColumn("source_lines", F.transform("lines", lambda x: x["body"])).withColumn("body", stripped(F.array_join("source_lines", " ")))
+    leads = F.when(F.col("body").endswith(":"), stripped(F.regexp_replace("body", ":+$", "")))
+    before = Window.partitionBy("doc", "run").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("lead_in", F.last(leads, ignorenulls=True).over(before)).filter(~F.col("body").endswith(":"))
+    d = d.filter(F.col("lead_in").isNotNull() | (F.size("lines") > 1) | (F.length("body") >= floor))
+    ordinal = F.row_number().over(Window.partitionBy("doc").orderBy("run", "group")) - 1
+    return d.select("doc", "label", "part", "section", "lead_in", ordinal.alias("ordinal"), "body", "source_lines")
 
 
 def normalized(text: str) -> Column:
@@ -79,6 +120,6 @@ def verbatim_coverage(fragments: DataFrame, sources: DataFrame, floor: float = 0
     return d.select("fragment", "coverage", (F.col("coverage") < floor).alias("suspect"))
 
 
-def embed_input(doc: str, section: str, body: str) -> Column:
-    """The text that stands for a chunk where it is embedded: its document, its section if it has one, its body."""
-    return F.concat_ws(" / ", F.concat(F.lit("document "), F.col(doc).cast("string")), section, body)
+def embed_input(label: str = "label", part: str = "part", section: str = "section", lead_in: str = "lead_in", body: str = "body") -> Column:
+    """The text that stands for a chunk where it is embedded: the path to it, as far as there is one, and its body."""
+    return F.concat(F.concat_ws(" > ", *[F.when(F.col(c) != "", F.col(c)) for c in (label, part, section, lead_in)]), F.lit(": "), F.col(body))

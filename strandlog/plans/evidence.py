@@ -20,21 +20,41 @@ from strandlog.plans.relational import HELD
 from strandlog.plans.views import Views
 from strandlog.sources import sinks as K
 
-# a markdown reading of the documents: short lines are headings, lines of middle length items
-MARK = "case when length(line) < 30 then '## ' || line when length(line) < 120 then '- ' || line when n % 5 = 4 then lower(line) || ':' else line || '.<sup>3</sup>' end"
+# a markdown reading of the documents: short lines are headings of all kinds, lines of middle length list items, some of them clauses or lead-ins
+MARK = """case when length(line) = 0 then '' when length(line) < 30 then concat(case n % 8 when 0 then '# Part ' when 1 then '# Page ' when 2 then '## Annex ' else '## ' end, line)
+  when length(line) < 240 then concat(case when doc % 3 = 1 then concat(n + 1, '. ') else '- ' end, case when n % 5 = 4 then concat(line, ':') when n % 3 = 1 then lower(line) else concat(line, '.<sup>3</sup>') end)
+  when n % 9 = 0 then '' else line end"""
+#: The documents' profiles by doc % 3: lists with bullets, numbered lists, and bullets of some sections only.
+PROFILES = [(str(i), f"Manual {i}", ["^Part "], ["^Page "], ["^Annex "], ["^[A-M]"] if i == 2 else [], "numbered" if i == 1 else "bullet") for i in range(3)]
 LINES = f", lines as (select doc, n, {MARK} as line from (select doc_id as doc, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as n from documents))\n"
-CHUNKS = LINES + r""", kinds as (select doc, n, l as line, case when l like '#%' then 'heading' when l like '- %' then 'item' else 'para' end as kind, regexp_replace(l, '^(#+|-)\s+', '') as body
-  from (select doc, n, trim(regexp_replace(regexp_replace(line, '<sup>\d+</sup>', '', 'g'), '([."”])\d{1,3}$', '\1')) as l from lines) where l <> ''
-), lagged as (select *, last_value(case when kind = 'heading' then body end ignore nulls) over w as section, lag(kind) over w as pk, lag(body) over w like '%:' as lead_in, regexp_matches(body, '^[a-z]') as low from kinds window w as (partition by doc order by n)
-), grouped as (select *, sum(case when coalesce(case when kind = 'item' then pk = 'item' or pk = 'para' and (lead_in or low) else pk = 'para' and low end, false) then 0 else 1 end) over (partition by doc order by n) as g from lagged
-), chunks as (select doc, section, row_number() over (partition by doc order by g) as ordinal, body from (select doc, g, any_value(section) as section, string_agg(body, ' ' order by n) as body from grouped where kind <> 'heading' group by 1, 2) where length(body) >= 25)
+CHUNKS = LINES + r""", heads as (select doc, n, line, trim(line) as said, trim(regexp_replace(trim(line), '^[# ]+', '')) as head, regexp_extract(line, case when doc % 3 = 1 then '^\s*\d+\.\s+(.*)$' else '^\s*[-*]\s+(.*)$' end, 1) as item,
+    regexp_matches(line, case when doc % 3 = 1 then '^\s*\d+\.\s+' else '^\s*[-*]\s+' end) as is_item from lines
+), kinds as (select *, case when said like '#%' then case when head like 'Page %' then 'furniture' when head like 'Part %' then 'part' when head like 'Annex %' then 'excluded' else 'section' end when said = '' then 'blank' when is_item then 'item' else 'para' end as kind from heads
+), flow as (select *, case when kind = 'item' then trim(regexp_replace(regexp_replace(trim(item), '<sup>\d+</sup>', '', 'g'), '([."”])\d{1,3}$', '\1')) else head end as body, kind in ('part', 'section', 'excluded') as bound from kinds where kind <> 'furniture'
+), state as (select doc, n, kind, body, sum(bound::int) over w as region, sum((kind <> 'item')::int) over w as run, last_value(case when kind = 'part' then body end ignore nulls) over w as part,
+    last_value(case when bound then kind end ignore nulls) over w as under, last_value(case when bound then body end ignore nulls) over w as named from flow window w as (partition by doc order by n)
+), items as (select doc, n, body, run, part, under, case when under = 'section' then named end as section, min(run) over (partition by doc, region) as first_run from state where kind = 'item'
+), kept as (select * from items where (doc % 3 <> 1 or run = first_run) and under <> 'excluded' and coalesce(section, part) is not null and (doc % 3 <> 2 or regexp_matches(section, '^[A-M]'))
+), news as (select *, case when row_number() over (partition by doc, run order by n) = 1 or not regexp_matches(body, '^\P{L}*\p{Ll}') then 1 else 0 end as new from kept
+), grouped as (select *, sum(new) over (partition by doc, run order by n) as g from news
+), bodies as (select doc, run, g, any_value(part) as part, any_value(section) as section, trim(string_agg(body, ' ' order by n)) as body, count(*) as k from grouped group by 1, 2, 3
+), led as (select *, last_value(case when body like '%:' then trim(rtrim(body, ':')) end ignore nulls) over (partition by doc, run order by g rows between unbounded preceding and 1 preceding) as lead_in from bodies
+), chunks as (select doc, 'Manual ' || doc % 3 as label, part, section, lead_in, row_number() over (partition by doc order by run, g) - 1 as ordinal, body, k from led where body not like '%:' and (lead_in is not null or k > 1 or length(body) >= 25)
+)
 """
 
 
 def lines(v: Views) -> DataFrame:
-    d = v.table("documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    mark = "case when length(line) < 30 then concat('## ', line) when length(line) < 120 then concat('- ', line) when n % 5 = 4 then concat(lower(line), ':') else concat(line, '.<sup>3</sup>') end"
-    return d.withColumn("line", F.expr(mark))
+    d = v.table("documents").select(F.col("doc_id").alias("doc"), F.expr("cast(doc_id % 3 as string)").alias("profile"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return d.withColumn("line", F.expr(MARK))
+
+
+def chunks(v: Views) -> DataFrame:
+    return X.chunk_documents(lines(v), profiles(v))
+
+
+def profiles(v: Views) -> DataFrame:
+    return v.spark.createDataFrame(PROFILES, X.PROFILE)
 
 
 @query("scan_markdown_lines", LINES + """, numbered as (select row_number() over (partition by doc // 200 order by doc, n) - 1 as n, line from lines)
@@ -47,19 +67,19 @@ def _(v: Views) -> DataFrame:
     return K.read_markdown_lines(v.spark, at).groupBy("n").agg(F.count("*").alias("k"), F.sum(F.length("line")).alias("chars"))
 
 
-@query("chunk_documents", CHUNKS + "select doc, section, cast(ordinal as int) as ordinal, body from chunks")
+@query("chunk_documents", CHUNKS + "select doc, part, section, lead_in, cast(ordinal as int) as ordinal, body from chunks")
 def _(v: Views) -> DataFrame:
-    return X.chunk_documents(lines(v))
+    return chunks(v).select("doc", "part", "section", "lead_in", "ordinal", "body")
 
 
 @query("chunk_census", CHUNKS + "select doc, count(*) as n from chunks group by 1")
 def _(v: Views) -> DataFrame:
-    return X.chunk_documents(lines(v)).groupBy("doc").agg(F.count("*").alias("n"))
+    return chunks(v).groupBy("doc").agg(F.count("*").alias("n"))
 
 
-@query("clause_grouping", CHUNKS + "select doc, cast(g as bigint) as \"group\", count(*) as n from grouped where kind = 'item' group by 1, 2")
+@query("clause_grouping", CHUNKS + "select doc, cast(run as bigint) as run, cast(g as bigint) as \"group\", count(*) as n from grouped group by 1, 2, 3")
 def _(v: Views) -> DataFrame:
-    return X.chunk_lines(lines(v)).filter("kind = 'item'").groupBy("doc", "group").agg(F.count("*").alias("n"))
+    return X.chunk_lines(lines(v), profiles(v)).groupBy("doc", "run", "group").agg(F.count("*").alias("n"))
 
 
 @query("clean_footnotes", LINES + r"select sum(length(regexp_replace(regexp_replace(line, '<sup>\d+</sup>', '', 'g'), '([." + '"' + r"”])\d{1,3}$', '\1')))::bigint as chars from lines")
@@ -67,12 +87,14 @@ def _(v: Views) -> DataFrame:
     return lines(v).agg(F.sum(F.length(X.clean_footnotes(F.col("line")))).alias("chars"))
 
 
-@query("chunk_body_is_source", CHUNKS + "select count(*) as chunks, 0::bigint as strangers from chunks")
+@query("chunk_body_is_source", CHUNKS + "select count(*) as chunks, cast(sum(k) as bigint) as lines, 0::bigint as strangers, 0::bigint as reworded from chunks")
 def _(v: Views) -> DataFrame:
-    chunks = X.chunk_documents(lines(v))
-    source = X.line_kinds(lines(v)).filter("kind <> 'heading'").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("n", "body"))).alias("l"))
-    source = source.select("doc", F.array_join(F.transform("l", lambda x: x["body"]), " ").alias("whole"))
-    return chunks.join(source, "doc").agg(F.count("*").alias("chunks"), F.count_if(~F.contains("whole", F.col("body"))).alias("strangers"))
+    d = chunks(v)
+    source = X.line_kinds(lines(v), profiles(v)).filter("kind = 'item'").select("doc", F.col("body").alias("said")).distinct()
+    said = d.select("doc", F.explode("source_lines").alias("said"))
+    strangers = said.join(source, ["doc", "said"], "left_anti").agg(F.count("*").alias("strangers"))
+    whole = d.agg(F.count("*").alias("chunks"), F.sum(F.size("source_lines")).alias("lines"), F.count_if(F.col("body") != X.stripped(F.array_join("source_lines", " "))).alias("reworded"))
+    return whole.crossJoin(strangers)  # a row each
 
 
 @query("verbatim_coverage", r""", fr as (select item_id as fragment, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) as said from benchmark), fw as (select distinct fragment, substr(said, i, 12) as w from (select fragment, said, unnest(range(1, length(said) - 10)) as i from fr where length(said) >= 12)),
@@ -286,9 +308,9 @@ def _(v: Views) -> DataFrame:
     return v.spark.read.parquet(at).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query("embed_input", CHUNKS + "select doc, cast(ordinal as int) as ordinal, concat_ws(' / ', 'document ' || doc, section, body) as said from chunks")
+@query("embed_input", CHUNKS + "select doc, cast(ordinal as int) as ordinal, concat_ws(' > ', label, part, section, lead_in) || ': ' || body as said from chunks")
 def _(v: Views) -> DataFrame:
-    return X.chunk_documents(lines(v)).select("doc", "ordinal", X.embed_input("doc", "section", "body").alias("said"))
+    return chunks(v).select("doc", "ordinal", X.embed_input().alias("said"))
 
 
 @query("retrieve_regulation", f"""select query_id, vec_id from (select q.vec_id as query_id, x.vec_id, row_number() over (partition by q.vec_id order by {COS}, x.vec_id) as r
