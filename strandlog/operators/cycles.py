@@ -119,14 +119,16 @@ def _ways(hits: DataFrame, forward: DataFrame, backward: DataFrame, step: DataFr
     return cut(way.select(F.col("u").alias("src"), F.col("v").alias("dst"), "level", "path"), "ways")
 
 
-def return_paths(pairs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def return_paths(pairs: DataFrame, asked: DataFrame | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
     """src, dst, level, path for the ordered pairs (distinct, without self-loops) that a way leads back from dst to src
     within the hop budget. path lists the accounts from dst to the last before src, the least account breaking each tie from
-    its end on; level is its length less one, 1 to 11."""
-    core = core_of(pairs.select("src", "dst"))
+    its end on; level is its length less one, 1 to 11. ``asked``: those of the pairs that are asked for, if not all; then
+    nothing is done for the graph as a whole."""
+    core = core_of(pairs.select("src", "dst")) if asked is None else pairs.select("src", "dst")
     step = core.select(F.col("src").alias("node"), F.col("dst").alias("next"))
     back = core.select(F.col("dst").alias("u"), F.col("src").alias("v"), F.lit(2).alias("places"))
-    asked = cut(core.select(F.col("src").alias("u"), F.col("dst").alias("v")).join(back, ["u", "v"], "left").select("u", "v", F.coalesce("places", F.lit(1)).alias("places")), "asked")
+    wanted = core if asked is None else asked
+    asked = cut(wanted.select(F.col("src").alias("u"), F.col("dst").alias("v")).join(back, ["u", "v"], "left").select("u", "v", F.coalesce("places", F.lit(1)).alias("places")), "asked")
 
     def search(part: DataFrame, most: int) -> DataFrame:
         left = part.select("u", "v")
@@ -152,18 +154,27 @@ def return_paths(pairs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     return in_halves(asked, "v", search, max_rows)
 
 
-def goes_on(pairs: DataFrame, roots: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The roots from which some account is first reached at the hop after the budget's last."""
+def open_ends(pairs: DataFrame, roots: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """root, boundary, goes_on: the nearest account without a way out that a root reaches within the budget less one hop
+    (the least of equally near), null if none; and where there is none, whether some account is first reached at the hop
+    after the budget's last. A root's search ends at its first open end."""
     step = pairs.select(F.col("src").alias("node"), F.col("dst").alias("next"))
 
     def search(part: DataFrame, most: int) -> DataFrame:
-        frontier = seen = cut(part.select("root", F.col("root").alias("node")), "on")
-        for _ in range(MAX_HOPS):
-            on = frontier.join(step, "node").select("root", F.col("next").alias("node")).distinct()
-            frontier = _checked(on.join(seen, ["root", "node"], "left_anti"), "on", most)
+        frontier = seen = cut(part.select("root", F.col("root").alias("node")), "reached")
+        found = None
+        for level in range(MAX_HOPS + 1):
+            if level == MAX_HOPS:
+                more = frontier.select("root", F.lit(None).cast("string").alias("boundary"), F.lit(True).alias("goes_on")).distinct()
+            else:
+                ends = frontier.join(step.select("node"), "node", "left_anti").groupBy("root").agg(F.min("node").alias("boundary"))
+                more = cut(ends.select("root", "boundary", F.lit(False).alias("goes_on")), "ends")
+                on = frontier.join(more, "root", "left_anti").join(step, "node").select("root", F.col("next").alias("node")).distinct()
+                frontier = _checked(on.join(seen, ["root", "node"], "left_anti"), "reached", most)
+                seen = seen.union(frontier)
+            found = more if found is None else found.union(more)
             if frontier.isEmpty():
                 break
-            seen = seen.union(frontier)
-        return frontier.select("root").distinct()
+        return found
 
     return in_halves(cut(roots, "roots"), "root", search, max_rows)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions.written import cut
-from strandlog.operators.cycles import MAX_HOPS, goes_on, return_paths
+from strandlog.operators.cycles import MAX_HOPS, open_ends, return_paths
 
 MIN_FANOUT = 2
 TYPOLOGIES = ("CYCLE", "GATHER-SCATTER", "SCATTER-GATHER", "STACK")
@@ -59,8 +59,13 @@ def cycle_witness(edges: DataFrame, back: DataFrame | None = None) -> DataFrame:
     judged = pairs.select("src", "dst").join(back, ["src", "dst"], "left")
     judged = cut(judged.join(near.select(F.col("account").alias("dst"), "boundary"), "dst", "left"), "judged")
     undecided = judged.filter("level is null and boundary is null").select(F.col("dst").alias("root")).distinct()
-    on = goes_on(pairs, undecided).select(F.col("root").alias("dst"), F.lit(True).alias("goes_on"))
+    on = open_ends(pairs, undecided).filter("goes_on").select(F.col("root").alias("dst"), "goes_on")
     judged = judged.join(on, "dst", "left")
+    return _outcomes(edges, judged)
+
+
+def _outcomes(edges: DataFrame, judged: DataFrame) -> DataFrame:
+    """The edges' outcomes by what is known of their pairs: level, path, boundary, goes_on."""
     d = edges.join(judged, ["src", "dst"], "left")
     outcome = F.when(F.col("level").isNotNull(), "MATCH").when(F.col("boundary").isNotNull(), "INCONCLUSIVE").otherwise("CONCLUSIVE_NO")
     match = F.col("level").isNotNull()
@@ -71,6 +76,18 @@ def cycle_witness(edges: DataFrame, back: DataFrame | None = None) -> DataFrame:
     )
 
 
+def cycle_witness_of(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same for some of the edges, ``asked`` (txn_id, src, dst), by searches from their accounts alone: no pass over all
+    accounts, as for sinks or a core, is made."""
+    flow = edges.filter("src <> dst").select("src", "dst")
+    wanted = cut(asked.filter("src <> dst").select("src", "dst").distinct(), "wanted")
+    back = return_paths(flow, asked=wanted)
+    left = wanted.join(back, ["src", "dst"], "left_anti").select(F.col("dst").alias("root")).distinct()
+    ends = open_ends(flow, left).select(F.col("root").alias("dst"), "boundary", "goes_on")
+    judged = wanted.join(back, ["src", "dst"], "left").join(ends, "dst", "left")
+    return _outcomes(asked, judged)
+
+
 def cycle_path(edges: DataFrame, witnesses: DataFrame) -> DataFrame:
     """txn_id, ids: the matching edges with their witness's transactions in order, the edge itself first."""
     m = witnesses.filter("outcome = 'MATCH'").select("txn_id", F.concat("path", F.array("src")).alias("way"))

@@ -28,6 +28,26 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], check
     query.awaitTermination()
 
 
+def run_upserts(stream: DataFrame, log: str, checkpoint: str) -> None:
+    """Writes the rows that each batch changes (update mode) to that batch's folder of a log, from which ``newest`` reads.
+
+    A batch costs what it changes, state that the watermark has passed is let go, and a batch that is run again after
+    a failure replaces its own folder."""
+    run_batches(stream, lambda batch, k: batch.write.mode("overwrite").parquet(f"{log}/batch={k}"), checkpoint, "update")
+
+
+def newest(spark: SparkSession, log: str, schema, key: list[str]) -> DataFrame:
+    """The last row of each key in a log of batches."""
+    d = spark.read.schema(f"{schema}, batch bigint").option("basePath", log).parquet(log)
+    row = [c for c in d.columns if c not in key]
+    return d.groupBy(*key).agg(F.max_by(F.struct(*row), "batch").alias("row")).select(*key, *[F.col(f"row.{c}").alias(c) for c in row if c != "batch"])
+
+
+def compact(spark: SparkSession, log: str, to: str, schema, key: list[str]) -> None:
+    """The newest rows as a log of one batch that counts as older than any that follows."""
+    newest(spark, log, schema, key).write.mode("overwrite").parquet(f"{to}/batch=-1")
+
+
 def closure_samples(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """subject, window_start, total, closed of the edge events of each subject and tumbling window."""
     d = events.withWatermark("ts", late) if events.isStreaming else events
@@ -55,21 +75,24 @@ def route_template(path: str):
     return F.regexp_replace(path, r"/([0-9a-f]{8}-[0-9a-f-]{27}|[0-9]+)(?=/|$)", "/{id}")
 
 
-def request_rate(requests: DataFrame, limit: int, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """client, route, window_start, n, allowed (at most ``limit``), retry_after (whole windows' seconds if over)."""
-    d = requests.withWatermark("ts", late) if requests.isStreaming else requests
-    d = d.withColumn("route", route_template("path")).groupBy("client", "route", F.window("ts", window)).agg(F.count("*").alias("n"))
-    length = F.unix_timestamp("window.end") - F.unix_timestamp("window.start")
-    return d.select("client", "route", F.col("window.start").alias("window_start"), "n", (F.col("n") <= limit).alias("allowed"), F.when(F.col("n") > limit, length).otherwise(0).alias("retry_after"))
-
-
 def apply_revocations(decisions: DataFrame, revocations: DataFrame) -> DataFrame:
     """Decisions (a stream or a table) with live: whether the driving belief's revocation lies later, or there is none."""
     at = revocations.groupBy("belief_id").agg(F.min("at").alias("revoked_at"))
     return decisions.join(at, "belief_id", "left").withColumn("live", F.coalesce(F.col("decided_at") < F.col("revoked_at"), F.lit(True)))
 
 
-def decide(arriving: DataFrame, gate: DataFrame) -> DataFrame:
-    """Decisions ruled on arrival by a static gate of (belief_id, agent_id, refusal); labels are joined later."""
-    d = arriving.join(gate, ["belief_id", "agent_id"], "left")
-    return d.withColumn("ruled", F.when(F.col("refusal").isNotNull(), "refused").otherwise(F.col("verdict")))
+def meet_revocations(decisions: DataFrame, revocations: DataFrame, reach: str, late: str = "1 day", settled: DataFrame | None = None) -> DataFrame:
+    """The same with revocations as a stream, too: decision_id, belief_id, decided_at, live.
+
+    A decision meets the revocations (one a belief) of at most ``reach`` before it; with that bound and both watermarks
+    either side is let go when nothing can meet it any more. Older ones come from ``settled``, a table of belief_id and
+    at that is read anew at each batch. A decision is given out when it is met, or when the watermark says that no
+    revocation before it can still come; what comes later than ``late`` is dropped."""
+    d = decisions.withWatermark("decided_at", late).select("decision_id", "belief_id", "decided_at")
+    r = revocations.withWatermark("at", late).select(F.col("belief_id").alias("revoked"), "at")
+    met = d.join(r, F.expr(f"belief_id = revoked and at <= decided_at and at > decided_at - interval {reach}"), "leftOuter")
+    met = met.select("decision_id", "belief_id", "decided_at", F.col("at").isNull().alias("live"))
+    if settled is None:
+        return met
+    before = settled.groupBy("belief_id").agg(F.min("at").alias("settled_at"))
+    return met.join(before, "belief_id", "left").select("decision_id", "belief_id", "decided_at", (F.col("live") & F.coalesce(F.col("settled_at") > F.col("decided_at"), F.lit(True))).alias("live"))
