@@ -31,7 +31,7 @@ LEAST_LETTERS = 6
 LEAST_N = 5
 RATIO = 5
 DELETED_EVERY = 199
-HELD = 300_000
+HELD = 150_000
 
 ALPHABET = "".join(map(chr, [*range(0x61, 0x7B), *range(0xC0, 0x100)]))
 #: The symbol of each letter; a multiplicative hash spreads letters that are near in frequency or in the alphabet.
@@ -105,12 +105,12 @@ def _neighbours(symbols: np.ndarray, n_symbols: int) -> Iterator[tuple[np.ndarra
 
 
 def _by_length(words: list[str], alphabet: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places in words, matrix of symbols) for each length, at most some 4 million symbols at a time."""
+    """(places in words, matrix of symbols) for each length, at most some 200,000 symbols at a time."""
     place = np.zeros(0x100, np.int64)
     place[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
     lengths = np.array([len(w) for w in words])
     for n in np.unique(lengths[lengths > 0]):
-        rows, step = np.flatnonzero(lengths == n), max(1, (1 << 22) // int(n) // max(1, len(alphabet) // 8))
+        rows, step = np.flatnonzero(lengths == n), max(1, (1 << 18) // int(n) // max(1, len(alphabet) // 8))
         for at in range(0, len(rows), step):
             some = rows[at : at + step]
             text = "".join(words[i] for i in some).encode("latin-1")
