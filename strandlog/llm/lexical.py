@@ -36,7 +36,9 @@ ITEMS = 2048
 CHARS = 1 << 23
 #: Shares of all postings that are read by the end of each band, about; they set how much a round reads, no result.
 BANDS = (0.5, 0.75, 0.9, 1.0)
-CELLS = 1 << 21
+#: At most so many intervals, and so many gains of postings for items, are held at a time, about.
+CELLS = 1 << 18
+GAINS = 1 << 19
 
 _STATE = "key long, doc_id long, terms array<int>, s array<long>"
 
@@ -129,12 +131,16 @@ class Intervals:
             rows = batch.slice(at, step)
             (term, lengths), (s, _) = _lists(rows.column("terms")), _lists(rows.column("s"))
             held = self.items.start[term + 1] - self.items.start[term]
-            posting = np.repeat(np.arange(len(term)), held)
-            place = self.items.start[term][posting] + np.arange(len(posting)) - np.repeat(np.cumsum(held) - held, held)
-            cell = np.repeat(np.arange(rows.num_rows), lengths)[posting] * n + self.items.item[place]
+            row = np.repeat(np.arange(rows.num_rows), lengths)
             lower, seen = np.zeros(rows.num_rows * n, np.int64), np.zeros(rows.num_rows * n, np.int64)
-            np.add.at(lower, cell, s[posting] * self.gain[place])
-            np.add.at(seen, cell, self.loss[place])
+            before = np.concatenate([[0], np.cumsum(held)])
+            cuts = np.unique(np.minimum(len(term), np.searchsorted(before, np.arange(0, before[-1] + GAINS, GAINS))))
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                posting = np.repeat(np.arange(lo, hi), held[lo:hi])
+                place = self.items.start[term[posting]] + np.arange(before[lo], before[hi]) - before[posting]
+                cell = row[posting] * n + self.items.item[place]
+                np.add.at(lower, cell, s[posting] * self.gain[place])
+                np.add.at(seen, cell, self.loss[place])
             lower = lower.reshape(-1, n)
             yield rows, lower, lower + self.open - seen.reshape(-1, n)
 
