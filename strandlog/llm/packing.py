@@ -1,10 +1,14 @@
 """Best-fit packing of tokenized documents into sequences of bounded length by hierarchical residual packing.
 
-Pieces of full length are sequences of their own. The others are packed best-fit decreasing in chunks of bounded size,
-wherever they lie. Nearly full bins are emitted; the pieces of the underfull ones are the residue. Pieces of one length
-are interchangeable, so of the residue only the numbers of pieces per length go up, at most ``LENGTH`` numbers a task;
-their sums are packed best-fit decreasing at the top, exactly, whatever the order of the table. The plan there says which
-numbers of a length go to which bins, and the pieces, numbered within their length, look their places up in it.
+Pieces of full length are sequences of their own. The others are dealt evenly over partitions, whatever their order in the
+table, and packed best-fit decreasing there. Nearly full bins are emitted; underfull ones go up a tree as items of their
+summed length: each round deals those that are left over as many fewer partitions and packs them best-fit again. The tree ends
+when one partition has held all, or when a round merges hardly any: bins that all are over half full need no further
+moves. No task holds more than two chunks of items at a time.
+
+What the tree leaves underfull is opened once more: pieces of one length are interchangeable, so their numbers per length, at
+most ``LENGTH`` sums, are packed best-fit decreasing in one plan, and the pieces, numbered within their length, look their
+places up in it. That fills the rooms in which a piece would have fitted and a bin would not.
 """
 
 from __future__ import annotations
@@ -28,9 +32,8 @@ SLACK = 8
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
-_BINS = f"closed boolean, part long, number long, members array<struct<{_PIECES.replace(' long', ': long').replace(' int', ': int')}>>"
-_BIN_SCHEMA = pa.schema([("closed", pa.bool_()), ("part", pa.int64()), ("number", pa.int64()), ("members", _MEMBERS)])
+_MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+_BINS = f"closed boolean, total long, members array<struct<{_PIECES.replace(' long', ': long').replace(' int', ': int')}>>"
 
 
 def cut(n: int, length: int) -> list[tuple[int, int]]:
@@ -118,37 +121,70 @@ def best_fit_counts(counts: dict[int, int], length: int) -> list[tuple[int, int,
     return plan
 
 
-def pack_pieces(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32), each from 1 to ``length`` long."""
-    pieces = save(pieces, "pack-pieces")
-    columns = pieces.columns
-    whole = pieces.filter(F.col("length") >= length).select(F.array(F.struct(*columns)).alias("members"))
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, numbers = TaskContext.get().partitionId(), [], [0] * length
-
-        def packed(chunk: list[dict]) -> pa.RecordBatch:
-            rows = []
-            for b in best_fit([x["length"] for x in chunk], length):
-                members = [chunk[i] for i in b]
-                if sum(m["length"] for m in members) >= length - SLACK:
-                    rows.append((True, part, 0, members))
-                    continue
-                for m in members:
-                    rows.append((False, part, numbers[m["length"]], [m]))
-                    numbers[m["length"]] += 1
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BIN_SCHEMA.types)], schema=_BIN_SCHEMA)
+def _fitted(items: DataFrame, length: int) -> DataFrame:
+    """_BINS made best-fit of the items (total, members) of each partition, at most two chunks of them at a time."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            chunk = pa.Table.from_batches(held).combine_chunks()
+            totals, members = chunk.column("total").to_numpy(), chunk.column("members").chunk(0)
+            bins = best_fit(totals.tolist(), length)
+            sizes = np.diff(members.offsets.to_numpy())
+            order = np.fromiter((i for b in bins for i in b), np.int64, len(totals))
+            n_members = [int(sizes[b].sum()) for b in bins]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_members)]).astype(np.int32)), members.take(pa.array(order)).flatten())
+            total = np.array([int(totals[b].sum()) for b in bins])
+            return pa.RecordBatch.from_arrays([pa.array(total >= length - SLACK), pa.array(total), lists], names=["closed", "total", "members"])
 
+        held, n = [], 0
         for batch in batches:
-            held += batch.to_pylist()
-            while len(held) >= CHUNK:
-                yield packed(held[:CHUNK])
-                held = held[CHUNK:]
-        if held:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= 2 * CHUNK:
+                yield packed(held)
+                held, n = [], 0
+        if n:
             yield packed(held)
 
-    level = save(pieces.filter(F.col("length") < length).mapInArrow(local, _BINS), "pack-level")
-    residue = level.filter("not closed").select("part", "number", F.expr("members[0]").alias("m")).select("part", "number", "m.*")
+    return items.select("total", "members").mapInArrow(fit, _BINS)
+
+
+def _numbered(residue: DataFrame, length: int) -> DataFrame:
+    """The pieces with part and number: their place among those of the same length in their task."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
+        for batch in batches:
+            sizes = batch.column("length").to_numpy()
+            order = np.argsort(sizes, kind="stable")
+            at = np.empty(len(sizes), np.int64)
+            at[order] = np.arange(len(sizes)) - np.searchsorted(sizes[order], sizes[order])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(sizes), part)), pa.array(at + seen[sizes])], names=[*batch.schema.names, "part", "number"])
+            seen += np.bincount(sizes, minlength=length + 1)
+
+    return residue.mapInArrow(number, f"{_PIECES}, part long, number long")
+
+
+def pack_pieces(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32), each from 1 to ``length`` long."""
+    pieces = save(pieces, "pack-pieces")
+    columns = pieces.columns
+    done = pieces.filter(F.col("length") >= length).select(F.array(F.struct(*columns)).alias("members"))
+    items = pieces.filter(F.col("length") < length).select(F.col("length").alias("total"), F.array(F.struct(*columns)).alias("members"))
+    n, level = items.count(), 0
+    while True:
+        parts = max(1, -(-n // CHUNK))
+        if parts > 1:  # by row, so that copies of a document don't meet in one partition
+            items = items.withColumn("nth", F.monotonically_increasing_id()).repartition(parts, F.xxhash64("nth", F.lit(level)))
+        else:
+            items = items.coalesce(1)  # one chunk
+        bins = save(_fitted(items, length), f"pack-level-{level}")
+        done = done.unionByName(bins.filter("closed").select("members"))
+        items, left = bins.filter("not closed"), bins.filter("not closed").count()
+        if parts == 1 or level and left > 0.99 * n:
+            break
+        n, level = left, level + 1
+    residue = save(_numbered(items.select(F.explode("members").alias("m")).select("m.*"), length), "pack-residue")
     counts = residue.groupBy("length", "part").agg(F.count("*").alias("n"))
     plan = best_fit_counts({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, length)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -169,8 +205,7 @@ def pack_pieces(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     spread = numbered.mapInArrow(placed_by_plan, f"{_PIECES}, sequence_id long, offset long")
 
     # even numbers for the bins that are done, odd ones for those of the plan
-    bins = whole.unionByName(level.filter("closed").select("members"))
-    placed = bins.select((2 * F.monotonically_increasing_id()).alias("sequence_id"), "members")
+    placed = done.select((2 * F.monotonically_increasing_id()).alias("sequence_id"), "members")
     at = "transform(members, (m, i) -> aggregate(slice(members, 1, i), 0L, (a, x) -> a + x.length))"
     placed = placed.select("sequence_id", F.explode(F.arrays_zip("members", F.expr(at).alias("offset"))).alias("m"))
     return placed.select("m.members.*", "sequence_id", "m.offset").unionByName(spread)
