@@ -75,7 +75,7 @@ class Rollup:
         if self.committed(batch):
             return False
         aside = f"_aside-{uuid.uuid4().hex}"
-        _summed(deltas).coalesce(1).write.parquet(f"{self.path}/{aside}")
+        _summed(deltas).write.parquet(f"{self.path}/{aside}")
         (source, fs), (target, _) = self._at(aside), self._at(f"batch={batch}")
         if not fs.rename(source, target):
             raise OSError(f"batch {batch} could not be committed")
