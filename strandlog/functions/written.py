@@ -42,12 +42,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def _state(spark: SparkSession, paths: list[str]) -> tuple:
-    """Names, lengths and times of the files of some tables."""
+    """Names, lengths and times of the files of some tables, those in folders of partitions too."""
     out = []
     for path in paths:
         fs, at = _fs(spark, path)
-        files = fs.listStatus(at)
-        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+        files = fs.listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
     return tuple(sorted(out))
 
 

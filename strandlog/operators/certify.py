@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlog.functions.written import cut
+from strandlog.operators.closure import inheritance_closure
+
 
 def canonical_hash(*columns: str) -> Column:
     """sha256 of compact JSON with sorted keys, nulls written out. Use strings, integers and booleans only."""
@@ -36,12 +39,28 @@ def verify_certificates(certificates: DataFrame) -> DataFrame:
     return certificates.select("belief_id", "content_hash", (canonical_hash(*FIELDS) == F.col("content_hash")).alias("valid"))
 
 
-def certify_independently(stored: DataFrame, inheritance: DataFrame, beliefs: DataFrame, worlds: DataFrame) -> DataFrame:
-    """belief_id, verified (active, all edges open, at least one) and whether the stored world's hash is what is derived
-    again: agreed, disagreed or unavailable."""
-    state = inheritance.groupBy("belief_id").agg(F.count("*").alias("total"), F.expr("count_if(invalidated_at is null)").alias("open"))
-    d = beliefs.select("belief_id", "status").join(state, "belief_id", "left").join(worlds.select("belief_id", F.col("world_hash").alias("now")), "belief_id", "left")
-    d = d.join(stored.select("belief_id", F.col("world_hash").alias("then")), "belief_id", "left")
-    verified = F.coalesce((F.col("status") == "active") & (F.col("open") == F.col("total")) & (F.col("total") > 0), F.lit(False))
+def state_at(audits: DataFrame, beliefs: DataFrame, inheritance: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The beliefs and edges that each audit (audit_id, belief_id, at) saw, under the audit's id: those that were there by its
+    instant, with what had been revoked by then."""
+    by_then = lambda c: F.when(F.col(c) <= F.col("at"), F.col(c)).alias(c)
+    b = audits.join(beliefs, "belief_id").filter("formed_at <= at").select("audit_id", "originating_agent_id", by_then("invalidated_at"))
+    e = audits.join(inheritance, "belief_id").filter("inherited_at <= at").select("audit_id", "from_agent_id", "to_agent_id", "inherited_at", by_then("invalidated_at"))
+    return b, e
+
+
+def certify_independently(audits: DataFrame, stored: DataFrame, beliefs: DataFrame, inheritance: DataFrame, agents: DataFrame) -> DataFrame:
+    """belief_id, at, total, open, verified, agreement of audits (belief_id, at), from the tables alone.
+
+    The state is derived again as of each audit's instant, not today's: verified if the belief was active and had edges, all
+    of them open; its closure's hash is held against the stored certificate's: agreed, disagreed or unavailable."""
+    audits = cut(audits.withColumn("audit_id", F.monotonically_increasing_id()), "audits")
+    b, e = state_at(audits, beliefs, inheritance)
+    as_belief = lambda d: d.withColumnRenamed("audit_id", "belief_id")  # noqa: E731  each audit has a world of its own
+    now = world_hash(inheritance_closure(as_belief(b), as_belief(e)), agents).select(F.col("belief_id").alias("audit_id"), F.col("world_hash").alias("now"))
+    edges = e.groupBy("audit_id").agg(F.count("*").alias("total"), F.count_if(F.col("invalidated_at").isNull()).alias("open"))
+    active = b.filter("invalidated_at is null").select("audit_id", F.lit(True).alias("active"))
+    d = audits.join(active, "audit_id", "left").join(edges, "audit_id", "left").join(now, "audit_id", "left").join(stored.select("belief_id", F.col("world_hash").alias("then")), "belief_id", "left")
+    none = F.lit(0).cast("long")
+    verified = F.coalesce(F.col("active") & (F.col("open") == F.col("total")) & (F.col("total") > 0), F.lit(False))
     agreement = F.when(F.col("then").isNull(), "unavailable").when(F.col("then") == F.col("now"), "agreed").otherwise("disagreed")
-    return d.select("belief_id", verified.alias("verified"), agreement.alias("agreement"))
+    return d.select("belief_id", "at", F.coalesce("total", none).alias("total"), F.coalesce("open", none).alias("open"), verified.alias("verified"), agreement.alias("agreement"))

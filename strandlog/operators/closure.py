@@ -8,38 +8,86 @@ from pyspark.sql import functions as F
 from strandlog.functions.written import cut
 from strandlog.operators.holdings import beliefs_held
 
-def inheritance_closure(beliefs: DataFrame, inheritance: DataFrame) -> DataFrame:
-    """belief_id, depth, agent_id, from_agent_id, inherited_at, invalidated_at, path, truncated for all beliefs at once.
 
-    From each originator along the belief's edges; two ways in give two rows. An agent met again on its own path is told
-    (truncated) and not followed, so every path ends, however deep it goes; a round is written for each depth."""
+_ROW = ["belief_id", "depth", "agent_id", "from_agent_id", "inherited_at", "invalidated_at", "truncated"]
+
+
+def _plain(beliefs: DataFrame, inheritance: DataFrame) -> DataFrame:
+    """belief_id of the beliefs that every agent has from one agent at most, and their originators from none."""
+    twice = inheritance.groupBy("belief_id", F.col("to_agent_id").alias("agent_id")).agg(F.count("*").alias("n"))
+    twice = twice.join(beliefs.select("belief_id", F.col("originating_agent_id").alias("agent_id"), F.lit(True).alias("origin")), ["belief_id", "agent_id"], "left")
+    return beliefs.select("belief_id").distinct().join(twice.filter("n > 1 or origin").select("belief_id"), "belief_id", "left_anti")
+
+
+def _origins(beliefs: DataFrame) -> DataFrame:
     null_ts = F.lit(None).cast("timestamp")
-    level = beliefs.select(
+    return beliefs.select(
         "belief_id", F.lit(0).alias("depth"), F.col("originating_agent_id").alias("agent_id"), F.lit(None).cast("long").alias("from_agent_id"),
-        null_ts.alias("inherited_at"), null_ts.alias("invalidated_at"), F.array("originating_agent_id").alias("path"), F.lit(False).alias("truncated"),
+        null_ts.alias("inherited_at"), null_ts.alias("invalidated_at"), F.lit(False).alias("truncated"), F.array("originating_agent_id").alias("path"),
+    )
+
+
+def _by_doubling(beliefs: DataFrame, inheritance: DataFrame, chains: bool) -> DataFrame:
+    """The closure where each heir has a belief from one agent: every edge points to the one above it, and each round lets it
+    point twice as far, so a lineage of n heirs takes log n rounds. What never comes to the originator (loops, and heirs of agents that
+    never held the belief) isn't in the closure and leaves when the longest possible lineage has been covered."""
+    edges = inheritance.join(beliefs.select("belief_id", "originating_agent_id"), "belief_id")
+    row = F.struct("from_agent_id", "inherited_at", "invalidated_at")
+    up = edges.select(
+        "belief_id", F.col("to_agent_id").alias("agent_id"), F.col("from_agent_id").alias("above"), F.lit(1).alias("depth"), (F.col("from_agent_id") == F.col("originating_agent_id")).alias("arrived"),
+        row.alias("edge"), (F.array("from_agent_id", "to_agent_id") if chains else F.lit(None).cast("array<long>")).alias("path"),
     )
-    level = out = cut(level, "closure")
+    up = cut(up, "lineage")
+    most = up.groupBy("belief_id").count().agg(F.max("count")).first()[0] or 0
+    reach = 1
+    while reach < most and not up.filter("not arrived").isEmpty():
+        over = up.select("belief_id", F.col("agent_id").alias("above"), F.col("above").alias("further"), F.col("depth").alias("more"), F.col("arrived").alias("now"), F.col("path").alias("before"))
+        going = up.filter("not arrived").join(over, ["belief_id", "above"])
+        path = F.concat("before", F.slice("path", 2, F.size("path"))) if chains else F.col("path")
+        going = going.select("belief_id", "agent_id", F.col("further").alias("above"), (F.col("depth") + F.col("more")).alias("depth"), F.col("now").alias("arrived"), "edge", path.alias("path"))
+        up = cut(up.filter("arrived").union(going), "lineage")
+        reach *= 2
+    return up.filter("arrived").select("belief_id", "depth", "agent_id", "edge.*", F.lit(False).alias("truncated"), "path").select(*_ROW, "path")
+
+
+def _by_levels(level: DataFrame, inheritance: DataFrame) -> DataFrame:
+    """The closure below ``level``, depth by depth, with the path of each row, by which an agent that is met again is told."""
     edges = inheritance.select("belief_id", F.col("from_agent_id").alias("agent_id"), F.col("to_agent_id").alias("next"), F.col("inherited_at").alias("at"), F.col("invalidated_at").alias("gone"))
-    depth = 0
-    while True:
+    level, out, depth = cut(level, "closure"), None, 0
+    while not level.isEmpty():
         depth += 1
         step = level.filter("not truncated").select("belief_id", "agent_id", "path").join(edges, ["belief_id", "agent_id"])
         again = F.array_contains("path", F.col("next"))
         level = cut(
             step.select(
                 "belief_id", F.lit(depth).alias("depth"), F.col("next").alias("agent_id"), F.col("agent_id").alias("from_agent_id"), F.col("at").alias("inherited_at"),
-                F.col("gone").alias("invalidated_at"), F.concat("path", F.array("next")).alias("path"), again.alias("truncated"),
+                F.col("gone").alias("invalidated_at"), again.alias("truncated"), F.concat("path", F.array("next")).alias("path"),
             ),
             "closure",
         )
-        if level.isEmpty():
-            return out
-        out = out.union(level)
+        out = level if out is None else out.union(level)
+    return out
+
+
+def inheritance_closure(beliefs: DataFrame, inheritance: DataFrame, chains: bool = False) -> DataFrame:
+    """belief_id, depth, agent_id, from_agent_id, inherited_at, invalidated_at, truncated for all beliefs at once; with ``chains`` also
+    path, the agents from the originator on.
+
+    From each originator along the belief's edges; two ways in give two rows. Beliefs that every heir has from one agent,
+    however deep they go, take a number of rounds that is the logarithm of their heirs. In the others an agent met again
+    on its own path is told (truncated) and not followed, so every path ends; they take a round for each depth."""
+    plain = cut(_plain(beliefs, inheritance), "plain")
+    origins = _origins(beliefs)
+    out = origins.union(_by_doubling(beliefs.join(plain, "belief_id", "left_semi"), inheritance.join(plain, "belief_id", "left_semi"), chains))
+    below = _by_levels(origins.join(plain, "belief_id", "left_anti"), inheritance)
+    if below is not None:
+        out = out.union(below)
+    return out if chains else out.drop("path")
 
 
-def ancestor_chains(closure: DataFrame) -> DataFrame:
+def ancestor_chains(beliefs: DataFrame, inheritance: DataFrame) -> DataFrame:
     """belief_id, agent_id, chain from the holder back to the originator."""
-    return closure.select("belief_id", "agent_id", F.reverse("path").alias("chain"))
+    return inheritance_closure(beliefs, inheritance, chains=True).select("belief_id", "agent_id", F.reverse("path").alias("chain"))
 
 
 def provenance_audit(beliefs: DataFrame, inheritance: DataFrame, agents: DataFrame) -> DataFrame:

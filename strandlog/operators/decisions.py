@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.functions.written import cut
+
 OUTCOMES = ("MATCH", "INCONCLUSIVE", "CONCLUSIVE_NO")
 TAG = "aml:"
 
@@ -196,7 +198,24 @@ def benign_capped(benign: DataFrame, targets: DataFrame, per_account: int, cap:
     ends = ends.join(targets, "account", "left_semi")
     before = Window.partitionBy("account").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     accepted = ends.withColumn("had", F.coalesce(F.sum("w").over(before), F.lit(0))).filter(F.col("had") < per_account).select(order).distinct()
-    return benign.join(accepted, order, "left_semi").orderBy(order).limit(cap)
+    return first_rows(benign.join(accepted, order, "left_semi"), order, cap)
+
+
+def first_rows(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows by ``order``. Ranges of it are counted; those before the n-th row are taken whole, and only the
+    range in which it lies is put in order, so no task sees more than a range, however large n is."""
+    ranges = cut(rows.repartitionByRange(max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), order).withColumn("_range", F.spark_partition_id()), "ranges")
+    whole, left = -1, n
+    for r in sorted(ranges.groupBy("_range").count().collect()):  # a row for each range
+        if r["count"] > left:
+            break
+        whole, left = r["_range"], left - r["count"]
+    rest = ranges.filter(F.col("_range") > whole).groupBy().agg(F.min("_range")).first()[0]
+    taken = ranges.filter(F.col("_range") <= whole)
+    if rest is not None and left:
+        split = ranges.filter(F.col("_range") == rest).withColumn("_r", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
+        taken = taken.unionByName(split.filter(F.col("_r") <= left).drop("_r"))
+    return taken.drop("_range")
 
 
 def build_extract(rows: DataFrame, chosen: DataFrame, per_account: int, ratio: int) -> DataFrame:

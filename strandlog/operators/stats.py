@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlog.functions.written import cut
-
 from strandlog.functions.statistics import f1, fisher_exact, wilson
+from strandlog.functions.written import cut
 
 CORRECT = "(verdict = 'approve') <> is_fraud"
 
 
 def in_windows(decisions: DataFrame, windows: DataFrame) -> DataFrame:
-    """Decisions with the windows of their belief that they fall in: start <= decided_at < end."""
-    on = F.expr("d.belief_id = w.belief_id and d.decided_at >= w.window_start and d.decided_at < w.window_end")
-    return decisions.alias("d").join(windows.alias("w"), on).select("d.*", "w.window_start", "w.window_end")
+    """Decisions with the windows of their belief that they fall in: start <= decided_at < end. Windows may be of any
+    length and number and overlap.
+
+    A window lies in one or two bins as wide as the power of two above its length, and a decision in one bin of each width that
+    there is (a few tens of powers at most), so the join is one of equal beliefs, widths and bins, with the bounds as a rest."""
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    w = windows.filter("window_start < window_end").withColumn("_level", F.ceil(F.log2(F.greatest(F.lit(1), seconds("window_end") - seconds("window_start")) * 1.0)).cast("int"))
+    levels = [r[0] for r in w.select("_level").distinct().orderBy("_level").collect()]  # 64 at most
+    at = lambda c: F.expr(f"cast(floor({c} / power(2D, _level)) as bigint)")
+    w = w.withColumn("_a", seconds("window_start")).withColumn("_b", seconds("window_end")).withColumn("_bin", F.explode(F.sequence(at("_a"), at("_b"))))
+    d = decisions.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("_s", seconds("decided_at")).withColumn("_bin", at("_s"))
+    on = F.expr("d.belief_id = w.belief_id and d._level = w._level and d._bin = w._bin and d.decided_at >= w.window_start and d.decided_at < w.window_end")
+    return d.alias("d").join(w.alias("w"), on).select(*[f"d.`{c}`" for c in decisions.columns], "w.window_start", "w.window_end")
 
 
 _PERFORMANCE = [

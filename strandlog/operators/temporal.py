@@ -23,11 +23,33 @@ def latest_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 def normalized_instant(text: str) -> Column:
     """The instant that a column's text names: ISO-8601 (without zone: UTC) or decimal nanoseconds with a logical part.
     Null if it is neither."""
-    iso = F.to_timestamp(F.regexp_replace(text, "Z$", ""), "yyyy-MM-dd'T'HH:mm:ss")
+    iso = F.try_to_timestamp(F.regexp_replace(text, "Z$", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
     nanos = F.timestamp_micros((F.regexp_extract(text, r"^([0-9]+)(\.[0-9]+)?$", 1).cast("decimal(38,0)") / 1000).cast("long"))
     return F.when(F.col(text).rlike(r"^[0-9]+(\.[0-9]+)?$"), nanos).when(F.col(text).rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ?$"), iso)
 
 
+def checked_instant(text: str, oldest: Column, newest: Column) -> Column:
+    """struct(instant, problem): the instant that a column's text names and null, or null and MALFORMED or OUT_OF_RANGE:
+    before what is still kept, or in the future."""
+    instant = normalized_instant(text)
+    problem = F.when(instant.isNull(), "MALFORMED").when((instant < oldest) | (instant > newest), "OUT_OF_RANGE")
+    return F.struct(F.when(problem.isNull(), instant).alias("instant"), problem.alias("problem"))
+
+
+def required_instant(text: str, oldest: Column, newest: Column) -> Column:
+    """The instant of a column's text; a text that names none within range fails the query."""
+    c = checked_instant(text, oldest, newest)
+    return F.when(c["problem"].isNotNull(), F.raise_error(F.concat(c["problem"], F.lit(": "), F.coalesce(text, F.lit("null"))))).otherwise(c["instant"])
+
+
+def as_of_text(versions: DataFrame, text: str, oldest: Column, newest: Column) -> DataFrame:
+    """``as_of`` the instant that a text names; raises ValueError if there is no such instant or it is out of range."""
+    c = versions.sparkSession.createDataFrame([(text,)], "t string").select(checked_instant("t", oldest, newest).alias("c")).first().c
+    if c.problem:
+        raise ValueError(f"{c.problem}: {text}")
+    return as_of(versions, F.lit(c.instant))
+
+
 def invalidate(requests: DataFrame, beliefs: DataFrame, inheritance: DataFrame) -> DataFrame:
     """One revocation event for each request (belief_id, at): accepted or refused, what it affects, the state before.
 

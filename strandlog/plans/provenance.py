@@ -57,7 +57,7 @@ def _(v: Views) -> DataFrame:
 
 @query("ancestor_chain", CLO + "select belief_id, agent_id, array_to_string(list_reverse(path), '>') as chain from clo")
 def _(v: Views) -> DataFrame:
-    return C.ancestor_chains(closure(v)).select("belief_id", "agent_id", F.array_join(F.col("chain").cast("array<string>"), ">").alias("chain"))
+    return C.ancestor_chains(v.beliefs, v.inheritance).select("belief_id", "agent_id", F.array_join(F.col("chain").cast("array<string>"), ">").alias("chain"))
 
 
 @query("closure_world_hash", CLO + "select belief_id, world_hash from world")
@@ -111,10 +111,12 @@ def _(v: Views) -> DataFrame:
     return T.latest_per_key(v.versions, "key", ["commit_ts", "seq"]).select("key", "seq", "state")
 
 
-@query("normalize_as_of", """select event_id, case event_id % 3 when 2 then null else date_trunc('second', ts) end as instant from events""")
+@query("normalize_as_of", """select event_id, case when event_id % 3 <> 2 and ts >= timestamp '2024-01-05' then date_trunc('second', ts) end as instant,
+  case when event_id % 3 = 2 then 'MALFORMED' when date_trunc('second', ts) < timestamp '2024-01-05' then 'OUT_OF_RANGE' end as problem from events""")
 def _(v: Views) -> DataFrame:
     said = F.expr("case event_id % 3 when 0 then date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") when 1 then concat(unix_seconds(cast(ts as timestamp)), '000000000.0000000001') else concat('on ', ts) end")
-    return v.table("events").withColumn("said", said).select("event_id", T.normalized_instant("said").alias("instant"))
+    instant = T.checked_instant("said", F.expr("timestamp'2024-01-05'"), F.expr("timestamp'2024-03-01'"))
+    return v.table("events").withColumn("said", said).select("event_id", instant.alias("c")).select("event_id", "c.instant", "c.problem")
 
 
 @query("invalidate", EV + "select belief_id, ev.at, refusal, affected_edges, affected_agents, open_before, edges_before from ev")
@@ -210,12 +212,24 @@ def _(v: Views) -> DataFrame:
     return Z.verify_certificates(K.read_certificates(v.spark, at))
 
 
-@query("certify_independently", CLO + EV + """, stt as (select belief_id, count(*) as total, count(*) filter (invalidated_at is null) as open from v_inheritance group by 1)
-select b.belief_id, coalesce(status = 'active' and open = total and total > 0, false) as verified, case when b.belief_id % 4 = 0 then 'unavailable' when b.belief_id % 5 = 1 then 'disagreed' else 'agreed' end as agreement from v_beliefs b left join stt using (belief_id)""")
+AUDITED = ", audited as (select belief_id, case belief_id % 4 when 0 then timestamp '1990-01-20' when 1 then timestamp '1994-01-01' when 2 then timestamp '1999-01-01' else timestamp '2001-01-01' end as at from v_beliefs)\n"
+THEN = CLO + AUDITED + """, edges as (select a.belief_id, i.from_agent_id, i.to_agent_id, i.invalidated_at is not null and i.invalidated_at <= a.at as gone from audited a join v_inheritance i using (belief_id) where i.inherited_at <= a.at
+), past as (select b.belief_id, 0 as depth, originating_agent_id as agent_id from v_beliefs b join audited a using (belief_id) where formed_at <= a.at
+  union all select p.belief_id, p.depth + 1, e.to_agent_id from past p join edges e on e.belief_id = p.belief_id and e.from_agent_id = p.agent_id
+), then_world as (select belief_id, 'sha256:' || sha256(string_agg(depth || ':' || coalesce(generation, -1) || ':' || agent_id, '|' order by depth, coalesce(generation, -1), agent_id)) as world_hash from past left join v_agents using (agent_id) group by 1
+), stt as (select belief_id, count(*) as total, count(*) filter (not gone) as open from edges group by 1)
+"""
+
+
+@query("certify_independently", THEN + """select a.belief_id, a.at, coalesce(t.total, 0) as total, coalesce(t.open, 0) as open, coalesce(b.formed_at <= a.at and (b.invalidated_at is null or b.invalidated_at > a.at) and t.open = t.total and t.total > 0, false) as verified,
+  case when a.belief_id % 7 = 0 then 'unavailable' when w.world_hash = x.world_hash then 'agreed' else 'disagreed' end as agreement
+  from audited a join v_beliefs b using (belief_id) left join stt t using (belief_id) left join then_world w using (belief_id) left join world x using (belief_id)""")
 def _(v: Views) -> DataFrame:
-    worlds = Z.world_hash(closure(v), v.agents)
-    stored = worlds.filter("belief_id % 4 <> 0").withColumn("world_hash", F.when(F.col("belief_id") % 5 == 1, F.lit("sha256:0")).otherwise(F.col("world_hash")))
-    return Z.certify_independently(stored, v.inheritance, v.beliefs, worlds)
+    at = F.expr("case belief_id % 4 when 0 then timestamp'1990-01-20' when 1 then timestamp'1994-01-01' when 2 then timestamp'1999-01-01' else timestamp'2001-01-01' end")
+    audits = v.beliefs.select("belief_id", at.alias("at"))
+    # certificates that state the whole closure; of some there is none. Where heirs came after the audit, they must disagree
+    stored = Z.world_hash(closure(v), v.agents).filter("belief_id % 7 <> 0").select("belief_id", "world_hash")
+    return Z.certify_independently(audits, stored, v.beliefs, v.inheritance, v.agents)
 
 
 @query("stamp_audit_outcome", EV + "select belief_id, case when belief_id % 3 = 0 then 'failed' else 'written' end as outcome from ev where refusal is null")

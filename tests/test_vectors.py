@@ -35,3 +35,34 @@ def test_blocks_give_what_one_search_gives(spark, data):
     asks = v.filter("vec_id % 10 = 0")
     order = lambda d: sorted(d.select("query_id", "vec_id", "rank", F.round("distance", 9)).collect())
     assert order(N.topk_in_blocks(asks, v, 3, most_queries=asks.count() - 1)) == order(N.topk_cosine(asks, v, 3))
+
+
+def test_a_stored_index_takes_more_vectors_and_reads_the_visited_cells_alone(spark, tmp_path):
+    rnd = random.Random(4)
+    centres = [[rnd.gauss(0, 1) for _ in range(16)] for _ in range(60)]
+    near = lambda c: [x + rnd.gauss(0, 0.05) for x in c]
+    schema = "vec_id long, source int, embedding array<float>"
+    first = spark.createDataFrame([(20 * g + i, 0, near(c)) for g, c in enumerate(centres) for i in range(20)], schema)
+    more = spark.createDataFrame([(5_000 + g, 0, near(c)) for g, c in enumerate(centres)], schema)
+    index = N.StoredIndex.build(first, str(tmp_path / "index"))
+    fitted = index.centres.count()
+    index.add(more)
+    whole, asks = first.union(more), first.filter("vec_id % 50 = 0 and vec_id < 100")
+    found = index.search(asks, 21, probed=0.1)
+    got = [r.recall for r in N.recall(found, N.topk_cosine(asks, whole, 21)).collect()]
+    assert sum(got) >= 0.9 * len(got) and index.centres.count() == fitted and index.entries.count() == 1_260
+    assert found.filter("vec_id >= 5000").count() >= 1
+    cells = index.visits(asks, 0.1).select("cell").distinct().count()
+    scans = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "dynamicpruning" in line]
+    assert scans and cells < 0.3 * fitted  # the plan prunes folders by the visited cells
+
+
+def test_kept_results_follow_a_change_in_a_folder_below(spark, tmp_path):
+    from strandlog.functions.written import kept
+
+    table = str(tmp_path / "table")
+    spark.range(4).selectExpr("id", "id % 2 as part").write.partitionBy("part").parquet(table)
+    read = lambda: kept(spark, "sizes", [table], lambda: spark.read.parquet(table).groupBy().count()).first()[0]
+    assert read() == 4
+    spark.range(3).selectExpr("id").write.mode("append").parquet(f"{table}/part=1")
+    assert read() == 7
