@@ -198,7 +198,7 @@ def benign_capped(benign: DataFrame, targets: DataFrame, per_account: int, cap:
     ends = ends.join(targets, "account", "left_semi")
     before = Window.partitionBy("account").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     accepted = ends.withColumn("had", F.coalesce(F.sum("w").over(before), F.lit(0))).filter(F.col("had") < per_account).select(order).distinct()
-    return first_rows(benign.join(accepted, order, "left_semi"), order, cap)
+    return first_rows(benign.join(accepted, order, "left_semi"), order, cap).orderBy(order)
 
 
 def first_rows(rows: DataFrame, order: str, n: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,7 +14,8 @@ def fresh(under: str, name: str) -> str:
 
 
 def insert_if_absent(rows: DataFrame, path: str, key: list[str]) -> int:
-    """Appends the rows whose key is neither in the table nor earlier among them (by key); the number of rows added."""
+    """Appends the rows whose key is neither in the table nor earlier among them (by key); the number of rows added, which
+    is counted as they are written."""
     spark = rows.sparkSession
     new = rows.dropDuplicates(key)
     try:
@@ -22,18 +23,9 @@ def insert_if_absent(rows: DataFrame, path: str, key: list[str]) -> int:
     except Exception as error:  # the table's first rows
         if "PATH_NOT_FOUND" not in str(error):
             raise
-    before = _count(spark, path)
-    new.write.mode("append").parquet(path)
-    return _count(spark, path) - before
-
-
-def _count(spark: SparkSession, path: str) -> int:
-    try:
-        return spark.read.parquet(path).count()
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return 0
-        raise
+    added = Observation()
+    new.observe(added, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return added.get["n"]
 
 
 def replace_by_key(rows: DataFrame, path: str, key: str) -> None:
