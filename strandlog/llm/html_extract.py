@@ -39,10 +39,11 @@ _BREAKS = frozenset(
     "hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SILENT = frozenset("script style noscript template title textarea select option button svg iframe object canvas math audio video datalist".split())
+_SILENT = frozenset("script style noscript template title textarea select option button iframe datalist".split())
 _CLOSES_P = _BREAKS - {"body", "html", "head", "legend", "summary", "dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "figcaption"}
 _CLOSES_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _LISTS = frozenset("ul ol dl table menu div section article".split())
+_ITEMS = frozenset("li dt dd".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _INNER = frozenset("article main".split())
 _OUTER = frozenset("nav footer aside menu dialog header form".split())
@@ -60,13 +61,15 @@ _SENTENCE = re.compile(r"[.!?…。！？](?:\s|$)")
 
 
 class _Element:
-    __slots__ = ("tag", "outer", "depth", "named", "chars", "holds")
+    __slots__ = ("tag", "outer", "depth", "named", "chars", "holds", "breaking", "list")
 
     def __init__(self, tag: str, outer: _Element | None, named: int):
         self.tag, self.outer, self.named = tag, outer, named
         self.depth = outer.depth + 1 if outer else 0
         self.chars = 0  # of the blocks in it, at any depth
         self.holds = False  # an h1, a main or an article is in it
+        self.breaking = self if outer is None or tag in _BREAKS else outer.breaking  # the nearest one that breaks lines
+        self.list = outer.list if tag in _ITEMS and outer else self  # for an item, what it is an item of
 
 
 class _Block:
@@ -86,6 +89,7 @@ class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = _Element("", None, 0)
+        self.elements: list[_Element] = []  # but for the root, outer ones first
         self.blocks: list[_Block] = []
         self.stack: list[_Element] = [self.root]
         self.opened: Counter = Counter()
@@ -139,6 +143,7 @@ class _Reader(HTMLParser):
             while e is not None and not e.holds:
                 e.holds, e = True, e.outer
         self.stack.append(element)
+        self.elements.append(element)
         self.opened[tag] += 1
         self.silent += tag in _SILENT
         self.links += tag == "a"
@@ -176,7 +181,7 @@ def blocks_of(html: str | None) -> list[_Block]:
     nearer, or outside every article or main of a page that has one; else 0. ``names``: 1 or -1 as the nearest element
     with a telling name says. What holds more than half of the page's text, or (but for nav, footer, menu, dialog and
     header) an h1, main or article, is no boilerplate by its tag or name. Names outside the nearest article or main
-    don't count.
+    don't count. An element left open, a button too, ends with what it is in. Work is linear in elements, however deep.
     """
     reader = _Reader()
     reader.feed(html or "")
@@ -184,9 +189,9 @@ def blocks_of(html: str | None) -> list[_Block]:
     reader._break()
     blocks, known = reader.blocks, {}
     for b in blocks:
-        e = b.at
-        while e is not None:
-            e.chars, e = e.chars + len(b.text), e.outer
+        b.at.chars += len(b.text)
+    for e in reversed(reader.elements):
+        e.outer.chars += e.chars
     most = reader.root.chars / 2
 
     def about(e: _Element) -> tuple[int, int]:
@@ -217,11 +222,7 @@ def blocks_of(html: str | None) -> list[_Block]:
 
 def _up(e: _Element) -> _Element:
     """The nearest element, e itself included, that breaks lines; for an item, the list that it is in."""
-    while e.outer is not None and e.tag not in _BREAKS:
-        e = e.outer
-    while e.outer is not None and e.tag in ("li", "dt", "dd"):
-        e = e.outer
-    return e
+    return e.breaking.list
 
 
 #: Weights of the looks that training starts from, in the order of ``_looks_of``.
