@@ -27,13 +27,14 @@ from strandlog.llm.common import save, text_of
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=\ue001-]{20,}"  # or a mark over a base span
 KINDS = ("assign", "access", "hex", "random")
 
 Q = 0.05
 STEPS = 50
 BANDS = (20, 24, 32, 48, 80, 160)  # the lengths at which strata begin, and the end of decoys
-_MARK = "\ue000"
+CHUNK = 64  # matches
+_MARK, _OVER = "\ue000", "\ue001"
 _ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -41,29 +42,50 @@ _ALPHABETS = {
 }
 
 
-def _spans(pattern: str, kind: int) -> Column:
-    """start, kind, end and what was said of every match of a pattern in the column said, leftmost first.
+def _pieces(pattern: str) -> Column:
+    """The column said cut at a pattern's matches, in chunks: what is before a match, the match, and so on to an end that
+    is empty. What follows the last match is left out.
 
-    Matches are set off by a mark that the text has not, so every other piece of the split text is a match."""
-    pieces = F.split(F.regexp_replace("said", pattern, f"{_MARK}$0{_MARK}"), _MARK)
-    lengths = F.transform(pieces, lambda p: F.length(p))
-    ends = F.aggregate(lengths, F.expr("cast(array() as array<int>)"), lambda a, x: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x))
-    at = F.transform(F.arrays_zip(pieces.alias("p"), ends.alias("e")), lambda x: F.struct((x["e"] - F.length(x["p"])).alias("start"), F.lit(kind).alias("kind"), x["e"].alias("end"), x["p"].alias("said")))
-    return F.when(F.size(pieces) > 1, F.filter(at, lambda x, i: i % 2 == 1)).otherwise(F.expr("cast(array() as array<struct<start: int, kind: int, end: int, said: string>>)"))
+    Matches are set off by a mark that the text has not. Chunks of CHUNK matches keep running sums short, so that the
+    work grows with the text and not with its square; each begins where the one before ends."""
+    marked = F.regexp_replace("said", pattern, f"{_MARK}$0{_MARK}")
+    chunks = F.regexp_extract_all(marked, F.lit(f"\\G(?:[^{_MARK}]*+{_MARK}[^{_MARK}]*+{_MARK}){{1,{CHUNK}}}+"), F.lit(0))
+    return F.transform(chunks, lambda c: F.split(c, _MARK))
+
+
+def _running(lengths: Column) -> Column:
+    """0 and the sums of the first one, two, ... of a short array of numbers."""
+    return F.aggregate(lengths, F.expr("array(0)"), lambda a, x: F.array_append(a, F.get(a, F.size(a) - 1) + x))
+
+
+def _spans(pieces: str, kind: int) -> Column:
+    """start, kind, end and what was said of every match, leftmost first."""
+    parts = F.transform(pieces, lambda p: F.struct(p.alias("p"), _running(F.transform(p, F.length)).alias("at")))
+    chunks = F.arrays_zip(parts.alias("part"), _running(F.transform(pieces, lambda p: F.length(F.array_join(p, "")))).alias("from"))
+    span = lambda start, x: F.struct((start + x["at"]).alias("start"), F.lit(kind).alias("kind"), (start + x["at"] + F.length(x["p"])).alias("end"), x["p"].alias("said"))
+    of = lambda c: F.transform(F.filter(F.arrays_zip(c["part"]["p"].alias("p"), c["part"]["at"].alias("at")), lambda x, i: i % 2 == 1), lambda x: span(c["from"], x))
+    # the running sums are one more than the chunks, and those of a chunk one more than its pieces, of which the last is no match
+    full = F.filter(chunks, lambda c: c["part"].isNotNull())
+    return F.filter(F.flatten(F.transform(full, of)), lambda x: x["said"].isNotNull())
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base (array of spans), candidates (array of spans) of every row of docs."""
+    """doc_id, text_hash, base (array of spans), candidates (array of spans) of every row of docs.
+
+    A candidate that overlaps a base span is none. Those of access and hex are made of a candidate's characters, so they
+    lie within it. Those of assign are written over by a mark first; no candidate starts where one ends, and one that ends
+    where it starts would go on into it, so a run that holds a mark is what overlaps."""
     d = docs.select("doc_id", text_of().alias("text"))
-    d = d.select("doc_id", F.xxhash64("text").alias("text_hash"), F.replace("text", F.lit(_MARK), F.lit("\ufffd")).alias("said"))
-    d = d.select(
-        "doc_id", "text_hash",
-        F.filter(_spans(ASSIGN, 0), lambda x: F.length(F.regexp_extract(x["said"], ASSIGN, 2)) >= 6).alias("assign"),
-        _spans(ACCESS, 1).alias("access"), _spans(HEX, 2).alias("hex"), _spans(CANDIDATE, 3).alias("candidates"),
-    )
-    d = d.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    apart = F.expr("filter(candidates, c -> not exists(base, b -> b.start < c.end and c.start < b.end))")
-    return d.select("doc_id", "text_hash", "base", apart.alias("candidates"))
+    d = d.select("doc_id", F.xxhash64("text").alias("text_hash"), F.replace(F.replace("text", F.lit(_MARK), F.lit("\ufffd")), F.lit(_OVER), F.lit("\ufffd")).alias("said"))
+    d = d.select("*", _pieces(ASSIGN).alias("a"), _pieces(ACCESS).alias("c"), _pieces(HEX).alias("h"))
+    long = lambda p: F.length(F.regexp_extract(p, ASSIGN, 2)) >= 6
+    d = d.select("doc_id", "text_hash", "said", "a", F.filter(_spans("a", 0), lambda x: long(x["said"])).alias("assign"), _spans("c", 1).alias("access"), _spans("h", 2).alias("hex"))
+    over = F.array_join(F.flatten(F.transform("a", lambda c: F.transform(c, lambda p, i: F.when((i % 2 == 1) & long(p), F.repeat(F.lit(_OVER), F.length(p))).otherwise(p)))), "")
+    d = d.withColumn("over", F.when(F.size("assign") > 0, over))
+    rest = F.expr("substring(said, length(over) + 1)")
+    d = d.select("doc_id", "text_hash", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), F.when(F.col("over").isNull(), F.col("said")).otherwise(F.concat("over", rest)).alias("said"))
+    d = d.select("doc_id", "text_hash", "base", _pieces(CANDIDATE).alias("pieces"))
+    return d.select("doc_id", "text_hash", "base", F.filter(_spans("pieces", 3), lambda x: ~x["said"].rlike(f"{_OVER}|{ACCESS}|{HEX}")).alias("candidates"))
 
 
 def _upper(z: str) -> str:
@@ -87,7 +109,7 @@ def randomness(candidates: DataFrame) -> DataFrame:
     letters = F.create_map(*[F.lit(x) for pair in _ALPHABETS.items() for x in pair])
     c = c.withColumn("alphabet", letters[F.col("encoding")]).withColumn("size", F.length("alphabet").cast("double")).withColumn("n", F.length("code"))
     c = c.filter("n >= 16")
-    c = c.withColumn("v", F.expr("transform(sequence(1, n), i -> instr(alphabet, substr(code, i, 1)) - 1)"))
+    c = c.withColumn("v", F.expr("transform(filter(split(code, ''), x -> x <> ''), x -> instr(alphabet, x) - 1)"))
     # chi-squared over kinds of characters: expected shares follow from the alphabet
     count = lambda col, pattern: f"cast(length(regexp_replace({col}, '[^{pattern}]+', '')) as double)"
     kinds = [("A-Z", "upper"), ("a-z", "lower"), ("0-9", "digit"), ("+/", "mark")]

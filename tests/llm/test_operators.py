@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -174,6 +175,28 @@ def test_secrets(spark, documents):
         assert [x for x in got[i].spans.split(",") if x and not x.startswith("random")] == [x for x in said.split(",") if x]
 
 
+def test_secrets_of_long_texts(spark):
+    """Texts of tens of thousands of secrets, and of a million letters or blanks, are as right as short ones, in linear time."""
+    rnd = random.Random(4)
+    code = lambda a, n: "".join(rnd.choices(a, k=n))
+    hexes = "\n".join(code("0123456789abcdef", 32) for _ in range(20_000))
+    mixed = " ".join(rnd.choice((f"token={code('abcXYZ019+/.', rnd.randint(1, 30))}", f"AKIA{code('ABC123', 16)}", f"x{code('0123456789abcdef', 26)}Z", f"pre{code('abcdefg', 20)}token=abcdefgh", code(secret_scan._ALPHABETS["base64"], 40))) for _ in range(40_000))
+    texts = {1: hexes, 2: mixed, 3: "a" * 1_000_000, 4: " " * 1_000_000, 5: code(secret_scan._ALPHABETS["base64"], 1_000_000), 6: "token=\ue001\ue000abcdefgh"}
+    frame = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    start = time.monotonic()
+    got = {r.doc_id: r for r in secret_scan.scan(frame).collect()}
+    secret_scan.secrets_digest(frame).write.format("noop").mode("overwrite").save()
+    assert time.monotonic() - start < 120
+    for i, t in texts.items():
+        base = plain_secrets(t)
+        assert [(x.start, x.kind, x.end) for x in got[i].base] == base
+        covered = bytearray(len(t) + 1)
+        for s, _, e in base:
+            covered[s:e] = b"x" * (e - s)
+        apart = [m for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t) if not any(covered[m.start() : m.end()])]
+        assert [(x.start, x.end, x.said) for x in got[i].candidates] == [(m.start(), m.end(), m[0]) for m in apart]
+
+
 def plain_battery(said):
     """The four tests of one string, from their definitions."""
     code = said.rstrip("=")
@@ -246,6 +269,27 @@ def test_main_text_of_a_page():
     assert text.split("\n\n") == ["My title", "First of the text, with a break & more.", "Short.", "Point one is here", "Point two", "Last, and it ends here."]
 
 
+def test_pages_of_any_depth():
+    """Deep pages take time in proportion to their length, and what is known of their blocks is right."""
+    start = time.monotonic()
+    for deep in ("<div>x " * 100_000, "<span>" * 50_000 + "a<hr>" * 50_000, "<ul>" + "<li><div><p>t w. " * 30_000):
+        html_extract.main_text(deep, html_extract.PRIOR)
+    assert time.monotonic() - start < 60
+    blocks = html_extract.blocks_of("<div>" * 50_000 + "<p>one</p>" + "</div>" * 50_000 + "<ul><li><b>two</b></ul>three")
+    assert [b.text for b in blocks] == ["one", "two", "three"] and [html_extract._up(b.at).tag for b in blocks] == ["p", "ul", ""]
+    outermost = blocks[0].at
+    while outermost.outer.outer is not None:
+        outermost = outermost.outer
+    assert (outermost.chars, outermost.outer.chars) == (3, 11)
+
+
+def test_embedded_matter_with_text_stays():
+    long = "A sentence that is long enough, with some commas, to look like prose. It is followed by another one of the kind."
+    page = f"<body><nav><a href=/>Home</a></nav><article><p>{long} Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be so.</p><svg><style>a{{}}</style><text>Axis</text></svg><form><button>Send</button></form></article></body>"
+    assert html_extract.main_text(page, html_extract.PRIOR).startswith(f"{long} Let x=2 be so.") and "a{}" not in html_extract.main_text(page, html_extract.PRIOR)
+    assert "Send" not in html_extract.main_text(page, html_extract.PRIOR)
+
+
 @pytest.mark.parametrize(
     "wrap",
     [
