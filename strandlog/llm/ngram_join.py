@@ -25,6 +25,7 @@ whatever the size of the table.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -115,7 +116,7 @@ def _shared_counts(docs: DataFrame, k: int) -> DataFrame:
                 order = np.argsort(cell, kind="stable")
                 short, places, cell = shingles[order].astype(np.uint32), places[order], cell[order]
                 first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))[: len(cell)]).tolist()
-                rows = [none | {"cell": k_th % cells, "batch": k_th, "ids": ids.tobytes(), "sizes": sizes.tobytes(), "digests": b"".join(map(_digest, sets)), "shared": shared.tobytes()}]
+                rows = [none | {"cell": zlib.crc32(k_th.to_bytes(8, "little")) % cells, "batch": k_th, "ids": ids.tobytes(), "sizes": sizes.tobytes(), "digests": b"".join(map(_digest, sets)), "shared": shared.tobytes()}]
                 for low, high in zip(first, [*first[1:], len(cell)]):
                     rows.append(none | {"cell": int(cell[low]), "batch": k_th, "shingles": short[low:high].tobytes(), "places": places[low:high].tobytes()})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
