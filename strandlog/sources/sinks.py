@@ -86,10 +86,11 @@ def pattern_blocks(files: DataFrame) -> DataFrame:
     )
 
 
-def read_markdown_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, n (from 0), line of the text files under path; the end of the last line begins no other."""
+def read_markdown_lines(spark: SparkSession, path: str, line_end: str = r"\r?\n") -> DataFrame:
+    """file, n (from 0), line of the text files under path; the end of the last line begins no other. Empty lines count, at
+    the end too: only ``\\z`` is the very end, ``$`` also stands before a last line end."""
     d = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return d.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("n", "line"))
+    return d.select("file", F.posexplode(F.split(F.regexp_replace("value", rf"(?:{line_end})\z", ""), line_end)).alias("n", "line"))
 
 
 def read_artifact(spark: SparkSession, path: str, schema: str, version: int) -> DataFrame:
