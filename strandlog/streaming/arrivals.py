@@ -22,7 +22,7 @@ def decide_arrivals(stream: DataFrame, gate: DataFrame, store: str, out: str, ch
     """Rules on each edge (EDGE) of a stream in the batch in which it arrives; rows RULED go to the batch's folder of ``out``.
 
     Phase one sees no label, the stream has none. A batch is added to the kept edges, and only from its own accounts a
-    search goes out over them. Where ``gate`` (belief_id, agent_id, refusal) refuses, nothing is searched for and the edge
+    search goes out over them (a batch of a large share of all edges has them all judged at once). Where ``gate`` (belief_id, agent_id, refusal) refuses, nothing is searched for and the edge
     only joins the graph. Edges without a belief are nobody's decision: they join the graph too. Both folders of a batch
     are written over if it is run again, so a restart repeats no row."""
 

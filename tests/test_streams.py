@@ -4,6 +4,7 @@ import datetime
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandlog.operators import graph as G
@@ -152,3 +153,15 @@ def test_arrivals_are_decided_by_what_had_arrived(spark, tmp_path):
     assert {r.txn_id: (r.ruled, r.outcome, r.boundary) for r in got.collect()} == expected and len({x[1] for x in expected.values()}) == 4
     labels = spark.createDataFrame([("t001", True)], "txn_id string, label boolean")
     assert A.with_labels(got, labels).filter("is_fraud").count() == 1 and "label" not in A.EDGE
+
+
+@pytest.mark.parametrize("share", [0.0, 2.0])
+def test_twins_of_a_way_back_repeat_no_decision(spark, share):
+    """An edge whose reverse has a twin, a pair that is paid twice: each edge has one outcome, whichever way is taken."""
+    from strandlog.operators import graph as G
+
+    pairs = [("A", "B"), ("B", "A"), ("B", "A"), ("B", "C"), ("C", "A"), ("C", "A"), ("D", "A"), ("D", "A"), ("E", "E")]
+    e = spark.createDataFrame([(f"t{i}", a, b) for i, (a, b) in enumerate(pairs)], "txn_id string, src string, dst string").withColumn("ts", F.lit(START))
+    want = sorted((r.txn_id, r.outcome, r.length, r.boundary) for r in G.cycle_witness(e).collect())
+    got = sorted((r.txn_id, r.outcome, r.length, r.boundary) for r in G.cycle_witness_of(e.select("txn_id", "src", "dst"), e, share).collect())
+    assert got == want and len(got) == len(pairs)
