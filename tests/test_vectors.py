@@ -66,3 +66,18 @@ def test_kept_results_follow_a_change_in_a_folder_below(spark, tmp_path):
     assert read() == 4
     spark.range(3).selectExpr("id").write.mode("append").parquet(f"{table}/part=1")
     assert read() == 7
+
+
+def test_products_of_matrices_rank_as_sql_does(spark):
+    """Copies tie by id, zero vectors and null ones come last, sources keep apart; each against the expression in SQL."""
+    rnd = random.Random(12)
+    some = [[rnd.gauss(0, 1) for _ in range(5)] for _ in range(12)]
+    rows = [(i, i % 3, some[rnd.randrange(12)]) for i in range(90)] + [(90, 0, [0.0] * 5), (91, 1, [0.0] * 5), (92, 2, None)]
+    v = spark.createDataFrame(rows, "vec_id long, source int, embedding array<float>").repartition(3)
+    asks = v.filter("vec_id % 9 = 0")
+    both = N.with_norm(asks).toDF("query_id", "qs", "qe", "qn").crossJoin(N.with_norm(v)).withColumn("distance", 1 - N.dot("qe", "embedding") / F.nullif(F.col("qn") * F.col("norm"), F.lit(0.0)))
+    for same, k in ((False, 4), (True, 4), (False, 93)):
+        d = both.filter("qs = source") if same else both
+        d = d.withColumn("rank", F.expr("row_number() over (partition by query_id order by distance nulls last, vec_id)")).filter(F.col("rank") <= k)
+        got = N.topk_cosine(asks, v, k, same).select("query_id", "vec_id", "distance", "rank")
+        assert sorted(map(str, got.collect())) == sorted(map(str, d.select("query_id", "vec_id", "distance", "rank").collect()))
